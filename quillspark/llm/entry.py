@@ -5,13 +5,18 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import op2_decontamination
+from .minhash import op1_minhash_dedup
 from .quality import op6_quality_rules
 from .shards import op4_compaction
 from .sql import ORACLE
+from .tokens import op3_token_ids, op5_packing
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_token_ids": op3_token_ids,
     "op4_compaction": op4_compaction,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
