@@ -9,6 +9,7 @@ from .minhash import op1_minhash_dedup
 from .quality import op6_quality_rules
 from .shards import op4_compaction
 from .sql import ORACLE
+from .substring import op7_substring_dedup
 from .tokens import op3_token_ids, op5_packing
 
 QUERIES = {
@@ -18,5 +19,6 @@ QUERIES = {
     "op4_compaction": op4_compaction,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
