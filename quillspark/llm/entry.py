@@ -5,12 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import op2_decontamination
+from .language import op10_language_id
 from .minhash import op1_minhash_dedup
 from .quality import op6_quality_rules
 from .shards import op4_compaction
 from .sql import ORACLE
 from .substring import op7_substring_dedup
 from .tokens import op3_token_ids, op5_packing
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -20,5 +22,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
