@@ -1,24 +1,69 @@
-"""The corpus pipeline: quality rules, MinHash near-dedup, substring dedup, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, MinHash near-dedup, substring dedup, benchmark decontamination, packing.
+
+Each stage takes the documents that its predecessor kept. All but the last return the columns of documents; rows with null ids or texts pass
+through every stage by the rules of its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, table
+from quillspark.llm.common import cut, scratch, table
 from quillspark.llm.decontaminate import contamination
+from quillspark.llm.minhash import BROADCAST_IDS, near_duplicates
 from quillspark.llm.quality import judge
+from quillspark.llm.substring import without_duplicates
+from quillspark.llm.tokens import PIECE, pack, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids in gone; a short list is broadcast, a long one joined by a shuffle."""
+    gone = cut(gone.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return judge(docs).filter("kept").select(*COLUMNS)
+    return judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at 80 % of their five-word shingles the one of the least id stays; of rows that repeat an id, one row."""
+    docs = docs.select(*COLUMNS)
+    kept = _without(docs, near_duplicates(docs, width=5).filter("NOT kept"))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that stand in an earlier document are cut from the later ones; n_chars is counted anew."""
+    out = without_duplicates(docs, window=50, gram=8, carry=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences of 2048 ids."""
+    return pack(docs, tokenizer_path(), end_id=1).select(*PIECE)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
+#: SQL can't express the tokenizer of the last stage; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .decontaminate import op2_decontamination
 from .language import op10_language_id
+from .maxent import op9_lm_scoring
 from .minhash import op1_minhash_dedup
 from .quality import op6_quality_rules
 from .shards import op4_compaction
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
