@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import media as M
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import links as L
 from ..operators import relations as R
+from ..sources import zip as Z
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -220,3 +222,54 @@ def resolve_links(spark, d):
     entries = paths.unionByName(links.filter("length(value) = 3").select(F.upper("value").alias("path"))).distinct().withColumn("package_id", F.lit("p"))
     refs = links.select(F.lit("p").alias("package_id"), F.col("value").alias("ref_id"), F.array("value").alias("candidates"), F.lit("").alias("suffix"), F.lit(False).alias("by_name"))
     return L.resolve(refs, L.entry_keys(entries)).select(F.col("ref_id").alias("value"), "status", "target", "lenient")
+
+
+@query("SELECT (page_id % 20)::VARCHAR AS package_id, count(*) + 1 AS entries, sum(strlen(html))::BIGINT + strlen('<ode/>') AS bytes, 'elpx' AS kind, 0::BIGINT AS problems FROM pages GROUP BY 1")
+def zip_roundtrip(spark, d):
+    """Pages packed to archives, and the archives' entries, contents and problems read back."""
+    pages = t(spark, d, "pages").select(F.expr("string(page_id % 20)").alias("package_id"), (F.col("page_id") + 1).alias("entry_index"), F.format_string("html/%d.html", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
+    start = pages.select("package_id").distinct().select("package_id", F.lit(0).cast("long").alias("entry_index"), F.lit("content.xml").alias("path"), F.lit("<ode/>").cast("binary").alias("content"))
+    archives = Z.packed(pages.unionByName(start))
+    entries = Z.zip_entries(archives)
+    read = Z.zip_contents(archives, entries).groupBy("package_id").agg(F.count("content").alias("entries"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+    problems = Z.zip_problems(entries).groupBy("package_id").agg(F.count("*").alias("problems"))
+    return read.join(Z.detect_packages(entries), "package_id").join(problems, "package_id", "left").fillna(0, ["problems"])
+
+
+_IMAGES = "SELECT p_partkey, list_element(['jpeg', 'png', 'webp', 'svg', 'gif'], (p_partkey % 5 + 1)::INT) AS format, p_partkey * 1000 AS size, p_size * 100 AS w, p_size * 60 AS h, p_partkey % 11 = 0 AS animated, 70 + p_partkey % 30 AS quality, p_partkey % 3 = 0 AS lossless, p_partkey % 7 = 0 AS fixed FROM part"
+
+
+def _images(spark, d):
+    kinds = F.array(*[F.lit(x) for x in ("jpeg", "png", "webp", "svg", "gif")])
+    k = F.col("p_partkey")
+    image = F.struct(
+        F.get(kinds, (k % 5).cast("int")).alias("format"), (k * 1000).alias("size"), (F.col("p_size") * 100).alias("width"), (F.col("p_size") * 60).alias("height"), (k % 11 == 0).alias("animated"),
+        F.lit(False).alias("multi_image"), F.lit("rgb").alias("color_model"), F.lit(8).alias("bit_depth"), (k % 3 == 0).alias("lossless"), (70 + k % 30).alias("quality"),
+        F.lit(None).cast("boolean").alias("extension_matches"), (k % 7 == 0).alias("fixed_size"), F.lit(None).cast("string").alias("error"),
+    )
+    return t(spark, d, "part").select("p_partkey", image.alias("image"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN format = 'svg' THEN 'vector-image' WHEN format = 'gif' THEN 'unsupported-format' WHEN w * h = 0 THEN 'corrupt' WHEN animated THEN 'animated' WHEN format = 'jpeg' AND (greatest(w, h) <= 1920 OR fixed) AND quality <= 84 THEN 'already-efficient' WHEN format = 'webp' AND NOT lossless AND (greatest(w, h) <= 1920 OR fixed) THEN 'already-efficient' END AS skip, floor(size * CASE WHEN format = 'jpeg' OR format = 'webp' AND NOT lossless THEN 0.82::DOUBLE ELSE 0.9::DOUBLE END + 0.5)::BIGINT AS estimate FROM ({_IMAGES})")
+def image_decisions(spark, d):
+    return _images(spark, d).select("p_partkey", M.image_skip(F.col("image")).alias("skip"), M.image_estimate(F.col("image")).alias("estimate"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN f = 'wma' THEN 'unsupported-format' WHEN n = 0 THEN 'no-audio-stream' WHEN n > 1 THEN 'multiple-audio-streams' WHEN s = 0 AND f <> 'ogg' THEN 'unknown-duration' WHEN f = 'mp3' AND b / 1000 < 179.2 THEN 'already-efficient' WHEN f = 'ogg' AND b / 1000 < 89.6 THEN 'already-efficient' END AS skip FROM (SELECT l_orderkey, l_linenumber, list_element(['mp3', 'ogg', 'wav', 'wma'], (l_partkey % 4 + 1)::INT) AS f, (l_suppkey % 3)::INT AS n, (l_orderkey % 5) * 10 AS s, l_quantity * 6000 AS b FROM lineitem)")
+def audio_decisions(spark, d):
+    kinds = lambda *x: F.get(F.array(*[F.lit(k) for k in x]), (F.col("l_partkey") % 4).cast("int"))
+    audio = F.struct(kinds("mp3", "ogg", "wav", "wma").alias("format"), F.lit(1000).alias("size"), kinds("mp3", "opus", "pcm", "wma").alias("codec"), F.lit(0).alias("n_video"), (F.col("l_suppkey") % 3).alias("n_audio"), (F.col("l_orderkey") % 5 * 10).alias("duration"), F.lit(2).alias("channels"), (F.col("l_quantity") * 6000).alias("bit_rate"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", M.audio_skip(audio).alias("skip"))
+
+
+@query("SELECT user_id, CASE WHEN e > 15 THEN 'unusable' WHEN e > 10 THEN 'invalid' WHEN w > 0 THEN 'valid-with-warnings' ELSE 'valid' END AS verdict FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'view') AS w FROM events GROUP BY 1)")
+def validation_verdict(spark, d):
+    n = t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("e"), F.count_if(F.col("event_type") == "view").alias("w"))
+    return n.select("user_id", M.verdict(F.col("e") <= 15, F.greatest(F.col("e") - 10, F.lit(0)), F.col("w")).alias("verdict"))
+
+
+@query("SELECT page_id, rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/') AS path FROM pages")
+def normalized_paths(spark, d):
+    """Paths with dots and empty segments resolved."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1)
+    return t(spark, d, "pages").select("page_id", P.normalized(F.lit("./x/.."), path).alias("path"))
