@@ -97,15 +97,15 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_starts: int = 400) -> Model:
-    """A model from at most per_class texts of each label, those whose ids hash least. labels: doc_id, toxic (others than 0 and 1 are skipped).
+    """A model from at most per_class toxic and four times as many ordinary texts, those whose ids hash least. labels: doc_id, toxic (others than 0 and 1 are skipped).
 
     Without texts of both labels the score is the same for every text.
     """
     import zstandard as z
 
-    picked = [labels.filter(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (1, 0)]
+    picked = [labels.filter(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, per_class), (0, 4 * per_class))]
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id", "toxic"]).select("text", F.col("toxic").cast("int").alias("toxic")))
-    rows = sample.collect()  # at most 2 * per_class texts
+    rows = sample.collect()  # at most 5 * per_class texts
     starts = _distinctive(sample, most_starts)
     plain = [b" " + b" ".join(_WORDS.findall((r["text"] or "").encode("utf-8", "surrogatepass").lower())) for r in rows if r["toxic"] == 0]
     pieces = [p[i : i + 60] for p in plain for i in range(0, len(p), 60)][:30_000]
