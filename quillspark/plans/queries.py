@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import media as M
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators import inventory as I
 from ..operators import links as L
 from ..operators import relations as R
+from ..operators import scan as S
 from ..sources import zip as Z
 
 
@@ -273,3 +275,52 @@ def normalized_paths(spark, d):
     """Paths with dots and empty segments resolved."""
     path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1)
     return t(spark, d, "pages").select("page_id", P.normalized(F.lit("./x/.."), path).alias("path"))
+
+
+@query("SELECT page_id, 'url' AS kind, v AS value FROM (SELECT page_id, unnest(['/a b.png', p.url]) AS v FROM pages p) UNION ALL SELECT page_id, 'import', page_id || '.css' FROM pages")
+def css_links(spark, d):
+    """References of a style sheet made for each page: quoted, bare, imported, and one in a comment that doesn't count."""
+    u = F.col("url")
+    css = F.concat(F.lit("@import '"), F.col("page_id").cast("string"), F.lit(".css'; p{background:url( '/a b.png' )} /* url(never.png) */ i{src:URL("), u, F.lit(")}"))
+    return S.css_references(t(spark, d, "pages").select("page_id", css.alias("css")), "page_id", "css").select("page_id", "kind", "value")
+
+
+@query("SELECT doc_id, keep FROM (SELECT doc_id, first_value(doc_id) OVER w AS keep, row_number() OVER w AS place, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text ORDER BY n_chars DESC, length('d' || doc_id), 'd' || doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE n > 1 AND place > 1")
+def duplicate_keep(spark, d):
+    """Which copy stays, for each that goes."""
+    docs = t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"), F.col("n_chars").alias("references"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    return I.keep_of_group(docs, ["h"]).filter("place > 1").select("doc_id", F.substring("keep", 2, 20).cast("long").alias("keep"))
+
+
+@query("SELECT p_brand AS package_id, count(*) AS operations, sum(greatest(p_size * 100 - coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_size * 40 END, 0), 0))::BIGINT AS saving FROM part GROUP BY 1")
+def plan_totals(spark, d):
+    part = t(spark, d, "part").select(F.col("p_brand").alias("package_id"), F.lit("recompress-image").alias("op"), F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") * 100).cast("long").alias("size"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") * 40).cast("long").alias("estimate"))
+    return I.plan_summary(I.plan([part])).drop("plan_hash")
+
+
+@query("SELECT c_custkey, 'customer-' || regexp_replace(c_name, '^Customer#0*', '') || '.png' AS name FROM customer WHERE c_custkey > 0")
+def clean_names(spark, d):
+    name = F.concat(F.lit("x/Customer "), F.regexp_replace("c_name", "^Customer#0*", ""), F.lit(" - copy (2).PNG"))
+    return t(spark, d, "customer").filter("c_custkey > 0").select("c_custkey", I.clean_name(name).alias("name"))
+
+
+@query("SELECT o_orderkey, '$.b[1].c' AS path, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, '$.a', o_orderstatus FROM orders")
+def json_walk(spark, d):
+    """The strings of nested JSON texts with their paths."""
+    body = F.to_json(F.struct(F.col("o_orderstatus").alias("a"), F.array(F.struct(F.lit(1).alias("n"), F.lit(None).cast("string").alias("c")), F.struct(F.lit(2).alias("n"), F.col("o_orderpriority").alias("c"))).alias("b")))
+    return S.json_strings(t(spark, d, "orders").select("o_orderkey", body.alias("j")), "o_orderkey", "j")
+
+
+def package_inventory(spark, d):
+    """Packages made of pages, end to end: packed, listed, their links resolved, and every entry classified by use."""
+    pages = t(spark, d, "pages").withColumn("package_id", F.expr("string(page_id % 20)"))
+    links = L.attribute_links(pages, "page_id", "html").filter("form = 'root-relative'").withColumn("package_id", F.expr("string(page_id % 20)"))
+    assets = links.filter("length(value) % 2 = 0").select("package_id", F.concat(F.lit("content/resources"), "value").alias("path"), F.lit("x").alias("content")).distinct()
+    files = pages.select("package_id", F.format_string("html/%d.html", "page_id").alias("path"), F.col("html").alias("content")).unionByName(assets).unionByName(pages.select("package_id").distinct().select("package_id", F.lit("content.xml").alias("path"), F.lit("<ode/>").alias("content")))
+    entries = Z.zip_entries(Z.packed(files.withColumn("entry_index", F.xxhash64("path").cast("long"))))
+    refs = links.select("package_id", F.concat_ws("/", F.col("page_id").cast("string"), F.col("ordinal").cast("string")).alias("ref_id"), F.array(F.concat(F.lit("content/resources"), "value")).alias("candidates"), F.lit("").alias("suffix"), F.lit(False).alias("by_name"))
+    found = L.resolve(refs, L.entry_keys(entries.select("package_id", "path"))).select("package_id", F.xxhash64("ref_id").alias("ordinal"), F.col("ref_id").alias("source"), "target", "status", F.lit(False).alias("dynamic"), "candidates")
+    return I.classify_usage(entries.select("package_id", "path", "entry_index"), found).groupBy("package_id", "role", "usage").agg(F.count("*").alias("entries"), F.sum("strong").alias("references"))
+
+
+QUERIES["package_inventory"] = package_inventory
