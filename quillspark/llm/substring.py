@@ -26,14 +26,12 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import cut, documents
-from .minhash import WordHashes, mixed, rolled, word_hashes
+from .minhash import BROADCAST_IDS, WordHashes, mixed, rolled, word_hashes
 
 _B1, _B2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _U = np.uint64
 #: Kinds of a packed place: start << 10 | windows << 2 | kind.
 OPEN, SIGNAL, MARK, ASK = 0, 1, 2, 3
-#: Places up to so many are broadcast, 8 bytes each, with their documents' ids.
-BROADCAST_PLACES = 500_000
 
 
 class _Texts:
@@ -154,9 +152,9 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
 
     of_kind = lambda k: F.filter("places", lambda p: p.bitwiseAND(3) == k)
     asked = found.select("doc_id", of_kind(ASK).alias("places")).filter(F.size("places") > 0)
-    n_asked = asked.agg(F.sum(F.size("places")), F.count("*")).first()
-    if (n_asked[0] or 0) + n_asked[1] <= BROADCAST_PLACES:
-        asked = F.broadcast(asked)
+    ids = asked.select("doc_id")
+    # Only the texts that are asked for are shuffled, while their ids are few enough to be sent to every task.
+    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -173,7 +171,7 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
             keep = opens | later
             yield _longs(*(c[keep] for c in (np.where(later, _spread(doc, s), one), two, doc, s << 10 | 1 << 2 | np.where(later, MARK, OPEN))))
 
-    single = docs.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(windows, "key long, words long, doc_id long, place long").repartition("key")
+    single = texts.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(windows, "key long, words long, doc_id long, place long").repartition("key")
     rank = F.rank().over(Window.partitionBy("key", "words").orderBy("doc_id", F.shiftright("place", 10)))
     also = single.withColumn("rank", rank).filter((F.col("rank") > 1) | (kind == MARK)).select("doc_id", F.col("place").bitwiseOR(F.lit(MARK).cast("long")).alias("place"))
     also = also.groupBy("doc_id").agg(F.collect_set("place").alias("more"))
