@@ -12,6 +12,7 @@ from ..operators import inventory as I
 from ..operators import links as L
 from ..operators import relations as R
 from ..operators import scan as S
+from ..sources import documents as D
 from ..sources import zip as Z
 
 
@@ -324,3 +325,18 @@ def package_inventory(spark, d):
 
 
 QUERIES["package_inventory"] = package_inventory
+
+
+@query("SELECT page_id, tag, field, count(*) AS n FROM (SELECT page_id, 'a' AS tag, 'href' AS field, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\"')) FROM pages UNION ALL SELECT page_id, 'style', '#text', unnest(regexp_extract_all(html, '<style>')) FROM pages UNION ALL SELECT page_id, 'script', '#text', unnest(regexp_extract_all(html, '<script>')) FROM pages) GROUP BY ALL")
+def html_fields(spark, d):
+    """The attributes and texts of the pages that can hold references, as a tokenizer sees them."""
+    return D.html_fields(t(spark, d, "pages"), "page_id", "html").groupBy("page_id", "tag", "field").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey::VARCHAR AS package_id, 'component' AS kind, count(*) AS n, count(DISTINCT o_orderpriority) AS types FROM orders GROUP BY 1 UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 'page', 1::BIGINT, 0::BIGINT FROM orders")
+def document_rows(spark, d):
+    """A content document for each customer, with a component for each order, parsed back to rows."""
+    part = F.format_string("<odeComponent><odeIdeviceId>%d</odeIdeviceId><odeIdeviceTypeName>%s</odeIdeviceTypeName></odeComponent>", "o_orderkey", "o_orderpriority")
+    body = F.concat(F.lit("<ode><odeNavStructures><odeNavStructure><odePageId>p</odePageId>"), F.array_join(F.collect_list(part), ""), F.lit("</odeNavStructure></odeNavStructures></ode>"))
+    made = t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("package_id")).agg(body.cast("binary").alias("content"))
+    return D.content_rows(made).filter("seq >= 0").groupBy("package_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("type").alias("types"))
