@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut, scratch, table
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.minhash import BROADCAST_IDS, near_duplicates
-from quillspark.llm.quality import judge
+from quillspark.llm.quality import judged
 from quillspark.llm.substring import without_duplicates
 from quillspark.llm.tokens import PIECE, pack, tokenizer_path
 
@@ -27,7 +27,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    return docs.select(*COLUMNS).filter(judged(F.col("text"))["kept"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,12 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes when low * per <= value <= high * per; documents under least words aren't judged by it."""
+    """A document passes when low * per <= times * value <= high * per; documents under least words aren't judged by it."""
 
     name: str
     value: str
-    per: str = "1"
+    times: int = 1
+    per: str = "n_words"
     low: float | None = None
     high: float | None = None
     least: int = 0
@@ -36,11 +37,12 @@ class Rule:
 
 #: Ratios are kept as products, so that no division rounds.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", low=2, high=20),
-    Rule("symbols_per_word", "10 * n_symbols", "n_words", high=1),
-    Rule("stop_words", "100 * n_stop_words", "n_words", low=4, least=30),
-    Rule("repeated_lines", "10 * n_dup_lines", "n_lines", high=4),
+    Rule("word_length", "word_chars", low=2, high=20),
+    Rule("symbols_per_word", "n_symbols", 10, high=1),
+    Rule("stop_words", "n_stop_words", 100, low=4, least=30),
+    Rule("repeated_lines", "n_dup_lines", 10, "n_lines", high=4),
 )
+MEASURES = ("n_words", "word_chars", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols")
 
 
 def _windows(w: Column) -> Column:
@@ -86,42 +88,41 @@ def _of_lines(lines: Column) -> Column:
     return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column quality_facts: n_words, word_chars, n_stop_words, n_repeat_words, n_lines, n_dup_lines and n_symbols.
-
-    A null or empty text measures zero everywhere. Only lines that hold a word count. The cost of a text is linear,
-    but for the texts in which a window is repeated: theirs are sorted. An input column named quality_facts is replaced.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
+def _measures(text: Column) -> Column:
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    facts = F.struct(
-        let(words(body), _of_words).alias("w"),
-        let(lines, _of_lines).alias("l"),
-        (F.size(F.split(body, SYMBOLS)) - 1).cast("long").alias("n_symbols"),
-    )
-    return docs.withColumn("quality_facts", facts)
+    parts = F.struct(let(words(body), _of_words).alias("w"), let(lines, _of_lines).alias("l"), (F.size(F.split(body, SYMBOLS)) - 1).cast("long").alias("n_symbols"))
+    return let(parts, lambda p: F.struct(*[p["w"][n].alias(n) for n in MEASURES[:4]], *[p["l"][n].alias(n) for n in MEASURES[4:6]], p["n_symbols"].alias("n_symbols")))
 
 
-def _passes(rule: Rule) -> Column:
-    value, per = F.expr(rule.value), F.expr(rule.per)
+def _passes(rule: Rule, m: Column) -> Column:
+    value, per = m[rule.value] * rule.times, m[rule.per]
     tests = [value >= per * F.lit(rule.low)] * (rule.low is not None) + [value <= per * F.lit(rule.high)] * (rule.high is not None)
-    return (F.col("n_words") < rule.least) | reduce(lambda a, b: a & b, tests)
+    return (m["n_words"] < rule.least) | reduce(lambda a, b: a & b, tests)
+
+
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the measures, base_failed, failed_rules and kept: one expression, so that a filter on kept measures a text once."""
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        failed = F.array(*[F.when(~_passes(r, m), F.lit(r.name)) for r in rules]) if rules else F.array().cast("array<string>")
+        keep = reduce(lambda a, b: a & b, [_passes(r, m) for r in rules], ~base)
+        return F.struct(*[m[n].alias(n) for n in MEASURES], base.alias("base_failed"), F.filter(failed, lambda x: x.isNotNull()).alias("failed_rules"), keep.alias("kept"))
+
+    return let(_measures(text), verdict)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every row of docs with the measures, base_failed, failed_rules (names, in table order) and kept.
 
-    base_failed: under 10 words, or over 20 % of the words in repeated windows; so a null or empty text fails. Each row
-    is judged alone: repeated rows and null ids are kept as they are. Input columns named as a measure are replaced.
+    A null or empty text measures zero everywhere. Only lines that hold a word count. The cost of a text is linear, but for the texts in which
+    a window is repeated: theirs are sorted. base_failed: under 10 words, or over 20 % of the words in repeated windows; so a null or empty text
+    fails. Each row is judged alone: repeated rows and null ids are kept as they are. Input columns named as a measure are replaced.
     """
-    facts = measured(docs, text)
-    names = ["n_words", "word_chars", "n_stop_words", "n_repeat_words"]
-    flat = facts.withColumns(
-        {n: F.col(f"quality_facts.w.{n}") for n in names} | {n: F.col(f"quality_facts.l.{n}") for n in ("n_lines", "n_dup_lines")} | {"n_symbols": F.col("quality_facts.n_symbols")}
-    ).drop("quality_facts")
-    failed = F.filter(F.array(*[F.when(~_passes(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return flat.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    names = (*MEASURES, "base_failed", "failed_rules", "kept")
+    out = docs.withColumn("quality_facts", judged(F.col(text), rules))
+    return out.withColumns({n: F.col(f"quality_facts.{n}") for n in names}).drop("quality_facts")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
