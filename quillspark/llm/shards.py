@@ -1,18 +1,21 @@
 """Sharding by size-tiered compaction: arrivals become small immutable runs, runs of like size are merged into files of a target size, and each change is one new manifest.
 
 The rows move in DataFrame reads and writes only. A manifest is a small JSON file that names the live files; it is
-written aside and renamed to its final name, after an exclusive create has claimed its number. So a reader sees a version whole or
-not at all, of two writers of one version the second fails, and a job that is lost midway leaves files that no manifest
-names.
+written aside and renamed to its final name, after an exclusive create has claimed its number: always the one after the version that
+the change is based on. So a reader sees a version whole or not at all, of two writers of one version the second fails, and a job that
+is lost midway leaves files that no manifest names. A job lost between claim and rename leaves a claim that makes every later change
+fail, until recover() gives the claimed number to a copy of the version before.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -70,16 +73,47 @@ class ShardStore:
         latest = (self.versions() or [0])[-1]
         if latest != base["version"]:
             raise Conflict(f"version {latest} came after {base['version']}")
-        version = max([latest, *self._numbers(".claim")]) + 1 if latest in (self._numbers(".claim") or [0]) or not latest else latest + 1
+        version = latest + 1
+        # Whoever holds a claim has its manifest aside, where recover() finds it.
+        aside = self._aside(version, schema, runs)
         if not self._fs.createNewFile(self._path(f"{self.root}/manifest/v{version:08d}.claim")):
+            self._fs.delete(aside, False)
             raise Conflict(f"version {version} is taken")
-        aside = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
+        self._name(aside, version)
+        return version
+
+    def _aside(self, version: int, schema: str | None, runs: list[Run]):
+        aside = self._path(f"{self.root}/manifest/.v{version:08d}-{uuid.uuid4().hex}")
         out = self._fs.create(aside)
         out.write(bytearray(json.dumps({"version": version, "schema": schema, "runs": [r.__dict__ for r in runs]}).encode()))
         out.close()
-        if not self._fs.rename(aside, self._path(f"{self.root}/manifest/v{version:08d}.json")):
+        return aside
+
+    def _name(self, aside, version: int) -> None:
+        try:
+            named = self._fs.rename(aside, self._path(f"{self.root}/manifest/v{version:08d}.json"))
+        except Py4JJavaError as e:  # what was aside is gone
+            raise Conflict(f"version {version} was recovered") from e
+        if not named:
             raise Conflict(f"version {version} could not be named")
-        return version
+
+    def recover(self) -> int:
+        """Ends the claim on the next version, if there is one: its writer fails, if it still lives. Returns the latest version.
+
+        Every manifest aside for that version is moved away first, so that no writer can name it any more; a writer that was faster has
+        committed. The claim stays, and the version becomes a copy of the one before.
+        """
+        base = self.manifest()
+        version = base["version"] + 1
+        if version not in self._numbers(".claim"):
+            return base["version"]
+        for s in self._fs.listStatus(self._path(f"{self.root}/manifest")):
+            if s.getPath().getName().startswith(f".v{version:08d}-"):
+                with contextlib.suppress(Py4JJavaError):  # its writer was faster
+                    self._fs.rename(s.getPath(), self._path(f"{self.root}/manifest/.dead-{uuid.uuid4().hex}"))
+        if version not in self.versions():
+            self._name(self._aside(version, base["schema"], [Run(r["name"], tuple(r["files"]), r["bytes"]) for r in base["runs"]]), version)
+        return self.versions()[-1]
 
     # -- runs
 

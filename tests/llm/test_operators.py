@@ -162,6 +162,42 @@ def test_compaction(spark, odd, empty, tmp_path):
         store._commit(stale, stale["schema"], [])
 
 
+def test_writers_between_claim_and_rename(spark, tmp_path):
+    """The second of two writers of one version fails, though the first has claimed it and not yet named it; a lost claim is recovered."""
+    part = lambda k: spark.createDataFrame([(k,)], "doc_id long")
+    first, second = (shards.ShardStore(spark, str(tmp_path / "t")) for _ in range(2))
+    first.append(part(1))
+    files, between = first._fs, None
+
+    class Files:
+        """What first asks of the file system; between runs before its rename."""
+
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+        def rename(self, *paths):
+            between()
+            return files.rename(*paths)
+
+    first._fs = Files()
+
+    def between():
+        with pytest.raises(shards.Conflict):
+            second.append(part(3))
+
+    assert first.append(part(2)) == 2
+    assert rows(second.read(), "doc_id") == [(1,), (2,)] and second.append(part(3)) == 3 and second.recover() == 3
+
+    def between():
+        assert second.recover() == 4 and second.append(part(5)) == 5
+
+    with pytest.raises(shards.Conflict):
+        first.append(part(4))
+    assert rows(second.read(), "doc_id") == [(1,), (2,), (3,), (5,)] and second.versions() == [1, 2, 3, 4, 5]
+    second.vacuum()
+    assert second.read().count() == 4
+
+
 @pytest.mark.parametrize(("window", "gram"), [(20, 8), (5, 2), (3, 3)])
 def test_substring_dedup(odd, odd_rows, window, gram):
     # Repeated whole rows are one document; texts of equal words with different ids are copies.
