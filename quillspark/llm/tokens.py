@@ -34,8 +34,9 @@ class Encoder:
     """Whole texts to the ids that the tokenizer gives them, as little-endian bytes.
 
     A byte-level tokenizer parts a text before every space between words, so what follows a space is encoded once and
-    remembered, most_units at most; then the memory starts anew. Texts with runs of white space around a space, and all texts of
-    other tokenizers, are encoded directly.
+    remembered, most_units at most; then the memory starts anew. Texts with runs of white space around a space, texts that hold
+    the content of an added token (it becomes that token's id, as the library has it by default), and all texts of other
+    tokenizers, are encoded directly.
     """
 
     def __init__(self, path: str, most_units: int = 600_000):
@@ -43,12 +44,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path) as f:
             made = json.load(f)
+        self.added = [a["content"] for a in made.get("added_tokens") or []]
         self.by_unit = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"].get("add_prefix_space") and not made.get("normalizer")
+        # An added token without white space lies inside one unit, or before the first.
+        self.by_unit = self.by_unit and not any(re.search(r"\s", a) for a in self.added)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.most_units, self.units = most_units, {}
 
@@ -83,7 +86,9 @@ class Encoder:
             self.units.clear()
         known = self.units.keys()
         new = set().union(*[p[1:] for p in parts if p]) - known
-        self._learn(list(new))
+        holds = {u for a in self.added for u in new if a in u}  # never known
+        parts = [None if p is None or any(a in p[0] for a in self.added) or holds and not holds.isdisjoint(p) else p for p in parts]
+        self._learn(list(new - holds))
         whole = self._direct([t for t, p in zip(texts, parts, strict=True) if p is None])
         heads = iter(self._direct([p[0] for p in parts if p is not None]))
         whole, get = iter(whole), self.units.__getitem__

@@ -122,6 +122,26 @@ def test_encoder_equals_direct_encoding():
     assert coder.encode(texts) == coder._direct(texts) == coder.encode(texts)
 
 
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    plain, coder = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|", "|endoftext|> <|end oftext|> it", "one two  three"]
+    for _ in range(2):
+        assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(coder.encode(texts[:1])[0], coder.dtype).tolist() == [87, 220, 50256, 331]
+
+
+def test_literals_in_id_files_and_sequences(spark, tmp_path):
+    """The literal of an added token is one id: it counts as one, and moves the start of later documents so."""
+    docs, path = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "z")], "doc_id long, text string"), tokens.tokenizer_path()
+    folder = f"file://{tmp_path}/ids"
+    got = rows(tokens.read_ids(spark, folder, tokens.write_ids(docs, folder, path, 2)), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert got[0] == (1, 0, 5, zlib.crc32(np.array([87, 220, 50256, 331, 2], "<u4").tobytes())) and got[1][:3] == (2, 5, 2)
+    assert rows(tokens.pack(docs, path, 1), "doc_id", "doc_tokens") == [(1, 5), (2, 2)]
+
+
 def test_packing(spark, odd, odd_rows, empty):
     path = tokens.tokenizer_path()
     coder = tokens.Encoder(path)
