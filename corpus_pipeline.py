@@ -19,10 +19,11 @@ from quillspark.llm.tokens import PIECE, pack, tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone; a short list is broadcast, a long one joined by a shuffle."""
-    gone = cut(gone.select("doc_id").filter("doc_id IS NOT NULL").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """docs without the rows whose keys (null-safe) are in gone; a short list is broadcast, a long one joined by a shuffle."""
+    gone = cut(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct())
+    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +32,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 80 % of their five-word shingles the one of the least id stays; of rows that repeat an id, one row."""
+    """Of documents linked at 80 % of their five-word shingles the one of the least id stays; of rows that repeat an id and its text, one row.
+
+    Rows that share an id but not the text are documents of their own: each has a key of its own in the operator, and of linked
+    ones the one of the least id, then the least text, stays.
+    """
     docs = docs.select(*COLUMNS)
-    kept = _without(docs, near_duplicates(docs, width=5).filter("NOT kept"))
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    named = docs.filter("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _without(docs, near_duplicates(docs, width=5).filter("NOT kept AND doc_id IS NOT NULL"), "doc_id")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    once = cut(once.withColumn("row_key", F.monotonically_increasing_id()))
+    linked = near_duplicates(once.select(F.col("row_key").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("row_key"), "component_id")
+    place = F.struct("doc_id", F.xxhash64("text").alias("text_key"), "row_key")
+    least = once.join(linked, "row_key").groupBy("component_id").agg(F.min(place).alias("least")).select(F.col("least.row_key").alias("row_key"))
+    return once.join(least, "row_key", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +58,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    """Rows that hold benchmark passages go, with an id or without; a clean row that shares the id stays."""
+    gone = contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True).filter("contaminated")
+    return _without(docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")), gone, "doc_id", "text_key")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,13 +53,14 @@ def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(first, "win")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, ratio: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 13, ratio: int = 20, keyed: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated.
 
     A word is hit inside any occurrence of a window of size item words (of all words of a shorter item). contaminated:
     n_hit > 0 and ratio * n_hit >= n_words. A null or empty text has no words; an item without words matches nothing; a
     null item_id counts as the id "null". Repeated rows, and rows that share an id, are judged each by its own text; so
-    are rows with a null id. Other columns of either table are not read.
+    are rows with a null id. Other columns of either table are not read. keyed: also text_key, xxhash64 of the text, which with
+    doc_id names the judged rows.
     """
     docs = docs.select("doc_id", "text")
     windows = cut(item_windows(items.select("item_id", "text"), size))
@@ -103,8 +104,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, ratio: int
     )
     ids = F.array_sort(F.array_distinct(F.flatten("lists")))
     return (
-        each.select("doc_id", "n_words", covered.alias("n_hit"), ids.alias("item_ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_c"))
-        .select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", ((F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        each.select("doc_id", "text_key", "n_words", covered.alias("n_hit"), ids.alias("item_ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_c"))
+        .select("doc_id", *["text_key"] * keyed, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", ((F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
     )
 
 

@@ -366,3 +366,18 @@ def test_pipeline(spark, odd_rows, tmp_path):
     assert ids["decontamination"] == ids["substring_dedup"] - {102}
     assert ids["packing"] == ids["decontamination"]
     assert corpus_pipeline.run(spark, d).count() == out["packing"].count()
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Rows without an id, and rows that share one, stay or go each by its own text."""
+    held, other, third = words(80, 40), words(81, 40), words(82, 40)
+    bad, clean = " ".join(held), " ".join(other)
+    near = " ".join([*words(83, 100), "end"])
+    d = str(tmp_path)
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = [(None, bad, "en", "s", 0), (None, clean, "en", "s", 1), (None, None, "en", "s", 2), (7, bad, "en", "s", 3), (7, clean, "en", "s", 4), (7, None, "en", "s", 5), (8, clean, "en", "s", 6)]
+    got = corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), d)
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS and [r[4] for r in rows(got.orderBy("n_chars"), *corpus_pipeline.COLUMNS)] == [r[4] for r in sorted((x for x in docs if x[1] != bad), key=repr)]
+    docs = [(7, clean, "en", "s", 1), (7, clean, "de", "s", 2), (7, " ".join(third), "en", "s", 3), (7, near, None, "s", 4), (9, near, "en", "s", 5), (3, " ".join(third), "en", "s", 6), (5, "", "en", "s", 7), (None, clean, "en", "s", 8), (None, clean, "en", "s", 8), (6, bad, "en", "s", 9)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, SCHEMA).repartition(4), d)
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS and sorted(r["n_chars"] for r in got.collect()) == [2, 4, 6, 7, 8, 8, 9]
