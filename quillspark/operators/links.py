@@ -11,7 +11,9 @@ from ..functions.text import composed
 
 ATTRIBUTE = '(?i)\\b(?:href|src|poster|data)\\s*=\\s*"([^"]*)"'
 PLACEHOLDER = "\\{\\{context_path\\}\\}/[^\"'<>\\s\\\\]+"
-QUOTED = "\"([^\"\\\\]*)\"|'([^'\\\\]*)'"
+#: Escapes stay as they are; only a template's string holds bare line ends.
+QUOTED = "(?s)" + "|".join(f"{q}((?:[^{q}\\\\{end}]++|\\\\.)*+){q}" for q, end in (('"', "\\n"), ("'", "\\n"), ("`", "")))
+SCRIPT = "(?is)<script\\b[^>]*>(.*?)</script\\s*>"
 
 
 def attribute_links(pages: DataFrame, id_col: str, html: str) -> DataFrame:
@@ -26,8 +28,14 @@ def placeholders(texts: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def quoted_strings(texts: DataFrame, id_col: str, code: str) -> DataFrame:
-    """Every quoted string of a script, in order of its opening."""
-    return texts.select(id_col, F.posexplode(F.regexp_extract_all(F.col(code), F.lit('"([^"\\\\]*)"'), F.lit(1))).alias("ordinal", "value"))
+    """Every quoted string of a script (double, single or backward quotes, escapes inside), in order of its opening."""
+    found = F.regexp_extract_all(F.col(code), F.lit(QUOTED), F.lit(0))
+    return texts.select(id_col, F.posexplode(found).alias("ordinal", "value")).withColumn("value", F.expr("substr(value, 2, length(value) - 2)"))
+
+
+def scripts(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """One row per script of a page: id, script_ordinal, script."""
+    return pages.select(id_col, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(SCRIPT), F.lit(1))).alias("script_ordinal", "script"))
 
 
 def entry_keys(entries: DataFrame, fallback: Column | None = None) -> DataFrame:
@@ -77,4 +85,4 @@ def resolve(refs: DataFrame, keys: DataFrame) -> DataFrame:
     return refs.join(found, ["package_id", "ref_id"], "left").withColumns({"status": status, "target": F.when(status == "resolved", F.col("path")), "lenient": lenient}).drop("path", "rule")
 
 
-__all__ = ["attribute_links", "entry_keys", "path_part", "placeholders", "quoted_strings", "resolve", "suffix_part"]
+__all__ = ["attribute_links", "entry_keys", "path_part", "placeholders", "quoted_strings", "resolve", "scripts", "suffix_part"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.paths import trimmed
 
@@ -32,21 +37,60 @@ def srcset_urls(value: Column) -> Column:
     return F.filter(candidates, lambda c: c != "")
 
 
+#: Objects and arrays are walked to this depth.
+JSON_DEPTH = 256
+
+
+class _Pairs(tuple):
+    """The members of a JSON object, repeated keys included."""
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def _json_walk(text: str) -> Iterator[tuple[str, str | None]]:
+    """(path, value) of each string, in order; (path, None) of an object or array that is nested too deep."""
+    skip = lambda _: None
+    try:
+        root = json.loads(text, object_pairs_hook=_Pairs, parse_int=skip, parse_float=skip, parse_constant=_refuse)
+    except RecursionError:
+        yield "$", None
+        return
+    except ValueError:
+        return
+    left = [("$", 1, root)]
+    while left:
+        at, depth, v = left.pop()
+        if isinstance(v, str):
+            yield at, v
+        elif isinstance(v, (_Pairs, list)) and depth > JSON_DEPTH:
+            yield at, None
+        elif isinstance(v, _Pairs):
+            left.extend((f"{at}.{k}", depth + 1, x) for k, x in reversed(v))
+        elif isinstance(v, list):
+            left.extend((f"{at}[{k}]", depth + 1, v[k]) for k in reversed(range(len(v))))
+
+
+def _whole(text: str | None) -> str | None:
+    """text with U+FFFD for each half of a surrogate pair, which Arrow can't hold."""
+    return text if text is None or text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def json_strings(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Every string value of a JSON text with its path, to a depth of four; texts that aren't JSON give none."""
-    parsed, out = rows.select(id_col, F.try_parse_json(F.col(text)).alias("v"), F.lit("$").alias("at")).filter("v IS NOT NULL"), None
-    kind = F.expr("schema_of_variant(value)")
-    for _ in range(4):
-        step = _children(parsed, id_col)
-        strings = step.filter(kind == "STRING").select(id_col, F.col("at").alias("path"), F.expr("variant_get(value, '$', 'string')").alias("value"))
-        out = strings if out is None else out.unionByName(strings)
-        parsed = step.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select(id_col, F.col("value").alias("v"), "at")
-    return out
-
-
-def _children(rows: DataFrame, id_col: str) -> DataFrame:
-    place = "CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END"
-    return rows.sparkSession.sql(f"SELECT `{id_col}`, concat(at, {place}) AS at, e.value FROM {{rows}}, LATERAL variant_explode(v) AS e", rows=rows)
+    """Every string value of a JSON text with its path, to a depth of 256; texts that aren't JSON give none.
+
+    An object or array beyond the depth gives one row with its path and a null value; a text too deep to be parsed, with the path "$".
+    """
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, _whole(at), _whole(v)) for i, t in enumerate(batch.column(1).to_pylist()) if t is not None for at, v in _json_walk(t)]
+            places, paths, values = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[id_col, "path", "value"])
+
+    taken = rows.select(id_col, F.col(text).alias("text"))
+    return taken.mapInArrow(walk, StructType([taken.schema[0], StructField("path", StringType()), StructField("value", StringType())]))
 
 
 MANIFEST = "version double, files array<string>, projectTitle string"

@@ -178,9 +178,8 @@ def props_walk(spark, d):
 
 @query("""SELECT page_id, count(*) AS strings FROM (SELECT page_id, unnest(regexp_extract_all(script, '"([^"\\\\]*)"', 1)) AS v FROM (SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS script FROM pages)) GROUP BY 1""")
 def template_scan(spark, d):
-    """Quoted strings in the first script of each page."""
-    scripts = t(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("script"))
-    return L.quoted_strings(scripts, "page_id", "script").groupBy("page_id").agg(F.count("*").alias("strings"))
+    """Quoted strings in the scripts of each page."""
+    return L.quoted_strings(L.scripts(t(spark, d, "pages"), "page_id", "html"), "page_id", "script").groupBy("page_id").agg(F.count("*").alias("strings"))
 
 
 @query("SELECT conv_id, turn, substr(text, 1, 3) || 'x' || substr(text, 6, 3) || substr(text, 11) AS text FROM conversations WHERE length(text) >= 12")

@@ -110,3 +110,30 @@ def test_packed_archives_open_elsewhere(spark, tmp_path):
     arrivals.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows(got, "kind", "entries", "problems") == [("elpx", 2, 0), ("unknown-zip", 1, 0)]
+
+
+def test_quoted_strings_of_all_scripts(spark, tmp_path):
+    from quillspark.plans import queries
+
+    code = '''a = "x"; b = 'it "is"'; c = `t
+u "v"`; d = "e\\"s'c"; f = ""; g = 'h\\\\'; don't("k");'''
+    long = "\\n" * 20_000
+    got = L.quoted_strings(spark.createDataFrame([(1, code), (2, f'"{long}"'), (3, None)], "id long, code string"), "id", "code").orderBy("id", "ordinal").collect()
+    assert [r["value"] for r in got] == ["x", 'it "is"', 't\nu "v"', 'e\\"s\'c', "", "h\\\\", "k", long]
+    pages = [(1, """<script>a("x", 'y')</script><p title="no"><SCRIPT type="module">b(`z`)</SCRIPT >"""), (2, "<p>'none'</p>")]
+    table = spark.createDataFrame(pages, "page_id long, html string")
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    found = L.scripts(table, "page_id", "html")
+    assert [tuple(r) for r in L.quoted_strings(found, "page_id", "script").select("page_id", "value").orderBy("value").collect()] == [(1, "x"), (1, "y"), (1, "z")]
+    assert rows(queries.QUERIES["template_scan"](spark, str(tmp_path)), "page_id", "strings") == [(1, 3)]
+
+
+def test_json_strings_at_any_depth(spark):
+    from quillspark.operators import scan as S
+
+    nest = lambda n: "[" * n + '"s"' + "]" * n
+    texts = ['{"a":{"b":{"c":{"d":{"e":["v",{"f":"w"}]}}}}}', nest(256), nest(257), nest(200_000), '"root"', '{"k":"1","k":"2"}', '["\\ud800", NaN]', '["\\ud800é", ' + "1" * 5000 + "]", None, "{"]
+    got = {}
+    for i, path, value in S.json_strings(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect():
+        got.setdefault(i, []).append((path, value))
+    assert got == {0: [("$.a.b.c.d.e[0]", "v"), ("$.a.b.c.d.e[1].f", "w")], 1: [("$" + "[0]" * 256, "s")], 2: [("$" + "[0]" * 256, None)], 3: [("$", None)], 4: [("$", "root")], 5: [("$.k", "1"), ("$.k", "2")], 7: [("$[0]", "�é")]}
