@@ -226,6 +226,26 @@ def resolve_links(spark, d):
     return L.resolve(refs, L.entry_keys(entries)).select(F.col("ref_id").alias("value"), "status", "target", "lenient")
 
 
+@query()
+def resolve_all_links(spark, d):
+    """The whole of what resolve_links asks in part: every distinct link that names an entry, with its whole path and suffix, by all rules.
+
+    Root-relative links count from the root, relative and local ones as they stand; links to other hosts are external; fragments, empty
+    values, data and pseudo URIs name no entry and have no row. SQL can't express percent decoding and composition.
+    """
+    links = L.attribute_links(t(spark, d, "pages"), "page_id", "html").select("value", "form").distinct()
+    paths = t(spark, d, "part").select(F.regexp_replace(T.slug(F.col("p_name"), marks=False), "-", "/").alias("path"))
+    names = links.filter("form = 'root-relative'").select(F.expr("substr(value, 2)").alias("value")).filter("value RLIKE '^[A-Za-z]{3}$'").select(F.upper("value").alias("path"))
+    entries = paths.unionByName(names).distinct().withColumn("package_id", F.lit("p"))
+    away = F.col("form").isin("absolute-url", "protocol-relative")
+    inside = links.filter(~away & ~F.col("form").isin("empty", "fragment", "data-uri", "pseudo"))
+    path = F.when(F.col("form") == "root-relative", F.expr("substr(value, 2)")).otherwise(F.col("value"))
+    refs = inside.select(F.lit("p").alias("package_id"), F.col("value").alias("ref_id"), "form", F.array(L.path_part(path)).alias("candidates"), L.suffix_part(path).alias("suffix"), F.lit(True).alias("by_name"))
+    found = L.resolve(refs, L.entry_keys(entries)).select(F.col("ref_id").alias("value"), "form", "status", "target", "lenient")
+    none = F.lit(None).cast("string")
+    return found.unionByName(links.filter(away).select("value", "form", F.lit("external").alias("status"), none.alias("target"), none.alias("lenient")))
+
+
 @query("SELECT (page_id % 20)::VARCHAR AS package_id, count(*) + 1 AS entries, sum(strlen(html))::BIGINT + strlen('<ode/>') AS bytes, 'elpx' AS kind, 0::BIGINT AS problems FROM pages GROUP BY 1")
 def zip_roundtrip(spark, d):
     """Pages packed to archives, and the archives' entries, contents and problems read back."""

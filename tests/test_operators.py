@@ -137,3 +137,39 @@ def test_json_strings_at_any_depth(spark):
     for i, path, value in S.json_strings(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect():
         got.setdefault(i, []).append((path, value))
     assert got == {0: [("$.a.b.c.d.e[0]", "v"), ("$.a.b.c.d.e[1].f", "w")], 1: [("$" + "[0]" * 256, "s")], 2: [("$" + "[0]" * 256, None)], 3: [("$", None)], 4: [("$", "root")], 5: [("$.k", "1"), ("$.k", "2")], 7: [("$[0]", "�é")]}
+
+
+def test_resolve_all_links_by_brute_force(spark, tmp_path):
+    """Links with accents, dots, digits, slashes, percent codes and suffixes all have a row, by the rule that finds it."""
+    import unicodedata
+    from urllib.parse import unquote
+
+    from quillspark.plans import queries
+
+    names = ["blue green", "Red 7", "a b c", "x b c", "solo", "one two"]
+    links = ["/blue/green", "/BLUE/green", "/blue%2Fgreen?x=1#y", "/blue//green", "/blue\\green", "/für", "/the,", "/a.b", "/red/7", "/the", "/The", "/THE", "/z/solo", "/z/c", "one/two", "/of", "/naïf/one", "/东京", "/one/two#" + "f" * 11_000, "//host/p", "http://h/p", "#top", "", "mailto:x@y"]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, " ".join(f'<a href="{v}">' for v in links))], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    entries = {n.lower().replace(" ", "/") for n in names} | {"THE"}
+    nfc = lambda v: unicodedata.normalize("NFC", v)
+
+    def brute(v):
+        if v.startswith(("//", "http:")):
+            return "external", None, None
+        whole = v.removeprefix("/")
+        raw = whole.split("?")[0].split("#")[0]
+        dec = unquote(raw)
+        tries = [(None, [e for e in entries if e == dec]), ("literal-special", [e for e in entries if raw != whole and e == whole])]
+        for x in (raw, dec):
+            once = x
+            while "//" in once:
+                once = once.replace("//", "/")
+            tries += [("double-slash", [e for e in entries if once != x and e == once]), ("backslash", [e for e in entries if "\\" in x and e == x.replace("\\", "/")])]
+        tries += [("unicode", [e for e in entries if nfc(e) in (nfc(raw), nfc(dec))]), ("case", [e for e in entries if e.lower() in (nfc(raw).lower(), nfc(dec).lower())])]
+        tries.append(("basename", [e for e in entries if e.split("/")[-1] == nfc(dec).split("/")[-1]]))
+        rule, hit = next(((r, h) for r, h in tries if h), (None, []))
+        return ("resolved", hit[0], rule) if len(hit) == 1 else ("ambiguous" if hit else "missing", None, rule if hit else None)
+
+    got = {r["value"]: (r["status"], r["target"], r["lenient"]) for r in queries.QUERIES["resolve_all_links"](spark, str(tmp_path)).collect()}
+    assert got == {v: brute(v) for v in links if v and v[0] != "#" and not v.startswith("mailto")}
+    assert {x[2] for x in got.values()} >= {"case", "double-slash", "backslash", "basename", None}
