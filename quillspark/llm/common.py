@@ -22,13 +22,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session takes a new folder; a cluster has none to take."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
-        sc.setCheckpointDir(folder)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
@@ -38,6 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, its default file system's if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    made = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + made.removeprefix("file:") if made.startswith("file:/") and not made.startswith("file://") else made
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder; the lineage ends here."""
     shared_dir(df.sparkSession)

@@ -8,14 +8,16 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, documents, scratch
+from .common import cut, documents, qualified, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,20 +28,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: White space around a space: there the pieces of the text don't part before the space.
-_SPACES = re.compile(r"\s (?:\s|$)")
+#: White space of any kind, as a class of Arrow's regular expressions, and the same but for the line feed.
+_SPACE, _NO_FEED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]", r"[\t\x0b-\r \x1c-\x1f\x{85}\p{Z}]"
+#: Runs of white space that don't part before each of their spaces and line feeds.
+_RUNS = rf"{_SPACE} (?:{_SPACE}|$)|{_NO_FEED}\n|\n(?:{_NO_FEED}|\n\n|\n$)"
+#: A word's letters and digits, and the marks that follow: the tokenizer parts there.
+_CLOSED = r"(?s)^(?P<stem>.*[0-9A-Za-zÀ-ÖØ-öø-ʯ])(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
 
 
 class Encoder:
-    """Whole texts to the ids that the tokenizer gives them, as little-endian bytes.
+    """Whole texts to the ids that the tokenizer gives them.
 
-    A byte-level tokenizer parts a text before every space between words, so what follows a space is encoded once and
-    remembered, most_units at most; then the memory starts anew. Texts with runs of white space around a space, texts that hold
-    the content of an added token (it becomes that token's id, as the library has it by default), and all texts of other
+    A byte-level tokenizer parts a text before every space and line feed between words, so what follows one is a unit, and of the texts of a
+    call each distinct unit is encoded once. Nothing is remembered between calls. Texts with other runs of white space, texts that hold the
+    content of an added token (it becomes that token's id, as the library has it by default), and all texts of other
     tokenizers, are encoded directly.
     """
 
-    def __init__(self, path: str, most_units: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,74 +55,119 @@ class Encoder:
         with open(path) as f:
             made = json.load(f)
         self.added = [a["content"] for a in made.get("added_tokens") or []]
-        self.by_unit = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"].get("add_prefix_space") and not made.get("normalizer")
+        parts = made.get("pre_tokenizer") or {}
+        self.by_unit = parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space") and not made.get("normalizer")
         # An added token without white space lies inside one unit, or before the first.
         self.by_unit = self.by_unit and not any(re.search(r"\s", a) for a in self.added)
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.most_units, self.units = most_units, {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
-        rest = set(new).difference(plain)
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some) or cuts[0]:
-                rest.update(some)
-                continue
-            raw, ends = ids.tobytes(), (np.append(cuts[1:], len(ids)) * self.dtype.itemsize).tolist()
-            start = 0
-            for u, end in zip(some, ends, strict=True):
-                self.units[u] = raw[start:end]
-                start = end
-        if rest:
-            rest = sorted(rest)
-            self.units.update(zip(rest, self._direct([" " + u for u in rest]), strict=True))
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        if not self.by_unit:
-            return self._direct(texts)
-        parts = [None if _SPACES.search(t) else t.split(" ") for t in texts]
-        if len(self.units) > self.most_units:
-            self.units.clear()
-        known = self.units.keys()
-        new = set().union(*[p[1:] for p in parts if p]) - known
-        holds = {u for a in self.added for u in new if a in u}  # never known
-        parts = [None if p is None or any(a in p[0] for a in self.added) or holds and not holds.isdisjoint(p) else p for p in parts]
-        self._learn(list(new - holds))
-        whole = self._direct([t for t, p in zip(texts, parts, strict=True) if p is None])
-        heads = iter(self._direct([p[0] for p in parts if p is not None]))
-        whole, get = iter(whole), self.units.__getitem__
-        return [next(whole) if p is None else next(heads) + b"".join(map(get, p[1:])) for p in parts]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each worker process, so that what a task has learned serves the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def encoded(batches: Iterable[pa.RecordBatch], path: str, some_chars: int = 2_000_000) -> Iterator[tuple[list, list[bytes], np.dtype]]:
-    """(doc_ids, ids as bytes, their kind) for groups of rows of about some_chars characters; a null text is empty."""
-    coder = encoder(path)
+        self.opens = [np.array([(self.tokenizer.id_to_token(i) or "").startswith(c) for i in range(size)]) for c in "ĠĊ"]
+
+    def _direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids in a row, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
+
+    def _following(self, units: pa.Array, kind: int, some: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """The same of units that follow a space (kind 0) or a line feed (kind 1); some are encoded at a time, and parted where an id opens with that."""
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(units, rf"^$|^{_SPACE}|{_SPACE}$").to_numpy(zero_copy_only=False)
+        order, n_plain = np.argsort(odd, kind="stable"), len(units) - int(odd.sum())
+        before, names = " \n"[kind], (units.take(pa.array(order)) if n_plain < len(units) else units).to_pylist()
+        parts = [names[i : min(i + some, n_plain)] for i in range(0, n_plain, some)]
+        ids, sizes = [], []
+        for k in range(0, len(parts), 64):
+            for part, e in zip(parts[k : k + 64], self.tokenizer.encode_batch_fast([before + before.join(p) for p in parts[k : k + 64]], add_special_tokens=False), strict=True):
+                own = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(self.opens[kind][own])
+                if len(cuts) != len(part) or cuts[0]:
+                    own, lengths = self._direct([before + n for n in part])
+                else:
+                    lengths = np.diff(np.append(cuts, len(own)))
+                ids.append(own), sizes.append(lengths)
+        own, lengths = self._direct([before + n for n in names[n_plain:]])
+        sizes = np.concatenate([*sizes, lengths])
+        back = np.argsort(order)
+        return _taken(np.concatenate([*ids, own]), sizes, back), sizes[back]
+
+    def _units(self, units: pa.Array, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct units; a word with marks after it is put together from both, so that it is encoded once for all that follows it."""
+        import pyarrow.compute as pc
+
+        closed = pc.extract_regex(units, _CLOSED)
+        stems = pc.if_else(closed.is_valid(), closed.field("stem"), units).dictionary_encode()
+        marks = pc.if_else(closed.is_valid(), closed.field("marks"), "").dictionary_encode()
+        (ids, sizes), (more, lengths) = self._following(stems.dictionary, kind), self._direct(marks.dictionary.to_pylist())
+        both = np.column_stack((stems.indices.to_numpy(), marks.indices.to_numpy().astype(np.int64) + len(sizes))).reshape(-1)
+        sizes = np.concatenate((sizes, lengths))
+        return _taken(np.concatenate((ids, more)), sizes, both), sizes[both].reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each has; end_id, if given, follows each text. A null text is empty."""
+        import pyarrow.compute as pc
+
+        texts, n = pc.fill_null(texts, ""), len(texts)
+        direct = np.ones(n, bool)
+        if self.by_unit:
+            tests = [pc.match_substring_regex(texts, _RUNS), *(pc.match_substring(texts, a) for a in self.added)]
+            direct = np.logical_or.reduce([t.to_numpy(zero_copy_only=False) for t in tests])
+        lines = pc.split_pattern(pc.if_else(pa.array(direct), "", texts), "\n")
+        units = pc.split_pattern(lines.flatten(), " ")
+        of_line, of_text = (a.offsets.to_numpy().astype(np.int64) - a.offsets[0].as_py() for a in (units, lines))
+        coded = units.flatten().dictionary_encode()
+        # A code is twice a unit's number, one more after a line feed; codes from heads on stand for the texts' first units, or for whole texts.
+        heads, first = 2 * len(coded.dictionary), of_line[of_text[:-1]]
+        code = coded.indices.to_numpy().astype(np.int64) * 2
+        opening = coded.dictionary.take(pa.array(code[first] >> 1))
+        code[of_line[:-1]] += 1
+        code[first] = heads + np.arange(n)
+        used = np.bincount(code, minlength=heads + n) > 0
+        sizes, held, after = np.zeros(heads + n + 1, np.int64), [], 0
+        for kind in (0, 1):
+            at = np.flatnonzero(used[kind:heads:2])
+            ids, lengths = self._units(coded.dictionary.take(pa.array(at)), kind)
+            held.append(ids)
+            sizes[2 * at + kind] = lengths
+        ids, lengths = self._direct(pc.if_else(pa.array(direct), texts, opening).to_pylist())
+        sizes[heads : heads + n] = lengths
+        starts = np.zeros(heads + n + 1, np.int64)
+        for kind in (0, 1):
+            own = sizes[kind:heads:2]
+            starts[kind:heads:2] = after + np.cumsum(own) - own
+            after += len(held[kind])
+        starts[heads : heads + n] = after + np.cumsum(lengths) - lengths
+        held.append(ids)
+        of_code = of_line[of_text]
+        if end_id is not None:
+            starts[-1], sizes[-1] = after + len(ids), 1
+            held.append(np.array([end_id], self.dtype))
+            code = np.insert(code, of_code[1:], heads + n)
+            of_code = of_code + np.arange(n + 1)
+        size = sizes[code]
+        ends = np.append(0, np.cumsum(size))
+        return np.concatenate(held)[np.repeat(starts[code] - ends[:-1], size) + np.arange(ends[-1])], np.diff(ends[of_code])
+
+
+def _taken(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """flat holds runs of these sizes; the runs that order names, one after the other."""
+    size = sizes[order]
+    ends = np.append(0, np.cumsum(size))
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[order] - ends[:-1], size) + np.arange(ends[-1])]
+
+
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int, some_chars: int = 8_000_000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids in a row, ids of each) for groups of rows of about some_chars characters; a null text is empty, and end_id follows each text."""
+    import pyarrow.compute as pc
+
+    coder = Encoder(path)
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        start, held = 0, 0
-        sizes = [len(t) for t in map(lambda t: t or "", texts.to_pylist())]
-        for i, n in enumerate(sizes):
-            held += n
-            if held >= some_chars or i + 1 == len(sizes):
-                yield doc_ids[start : i + 1], coder.encode(t or "" for t in texts.slice(start, i + 1 - start).to_pylist()), coder.dtype
-                start, held = i + 1, 0
+        chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(chars, (chars[start - 1] if start else 0) + some_chars, "right")))
+            yield batch.column(0).slice(start, end - start).cast(pa.int64()), *coder.encode(batch.column(1).slice(start, end - start), end_id)
+            start = end
+        pa.default_memory_pool().release_unused()
 
 
 # -- id files: frequency ranks in byte-aligned variable length, with separate control bytes
@@ -169,41 +220,42 @@ def unpack_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else d for d, x in zip(named.tolist(), null.tolist(), strict=True)], lengths, ranked[rank.view("<u4").reshape(-1)]
 
 
-def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, file_ids: int = 4_000_000) -> list[dict]:
-    """Writes the ids of docs (doc_id, text) in ascending doc_id order to files of about file_ids ids, and a manifest.
+FILES = "task long, k long, name string, n_docs long, n_ids long"
+
+
+def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, file_ids: int = 4_000_000) -> DataFrame:
+    """Writes the ids of docs (doc_id, text) in ascending doc_id order to files of about file_ids ids, and their manifest, which is returned.
 
     Null ids come first; rows that share an id stay side by side. A null text is empty; end_id follows each text. A
     document lies in one file. Files have names of their own for each attempt, and only those of the attempts that
-    counted are in the manifest, which is returned and written as manifest.json: name, n_docs, n_ids, start (ids in all files
-    before). folder must be open to the executors through pyarrow's file systems. An empty table gives no file.
+    counted are in the manifest, a Parquet table beside them: name, n_docs, n_ids, start (ids in all files before). folder must be open to
+    the executors through pyarrow's file systems. An empty table gives no file.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, place = fs.FileSystem.from_uri(folder)
-        task, held, sizes, chunks, k = TaskContext.get().partitionId(), [], [], [], 0
+        task, held, k = TaskContext.get().partitionId(), [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal k
             name = f"ids-{task:06d}-{k:05d}-{uuid.uuid4().hex}.qtk"
-            ids = np.concatenate(chunks)
+            doc_ids, ids, sizes = ([h[i] for h in held] for i in range(3))
+            ids, sizes = np.concatenate(ids), np.concatenate(sizes)
             with files.open_output_stream(f"{place}/{name}") as out:
-                out.write(pack_file(held, np.array(sizes), ids))
-            row = pa.RecordBatch.from_pydict({"task": [task], "k": [k], "name": [name], "n_docs": [len(held)], "n_ids": [len(ids)]})
+                out.write(pack_file([d for a in doc_ids for d in a.to_pylist()], sizes, ids))
             k += 1
-            for x in (held, sizes, chunks):
-                x.clear()
-            return row
+            held.clear()
+            return pa.RecordBatch.from_pydict({"task": [task], "k": [k], "name": [name], "n_docs": [len(sizes)], "n_ids": [len(ids)]})
 
         total = 0
-        for doc_ids, raws, kind in encoded(batches, path):
-            for d, raw in zip(doc_ids, raws, strict=True):
-                ids = np.append(np.frombuffer(raw, kind), kind.type(end_id))
-                held.append(d)
-                sizes.append(len(ids))
-                chunks.append(ids)
-                total += len(ids)
+        for doc_ids, ids, sizes in encoded(batches, path, end_id):
+            ends, start = np.append(0, np.cumsum(sizes)), 0
+            while start < len(sizes):  # up to the document that fills the file
+                end = min(len(sizes), int(np.searchsorted(ends, ends[start] + file_ids - total)))
+                held.append((doc_ids.slice(start, end - start), ids[ends[start] : ends[end]], sizes[start:end]))
+                total, start = total + int(ends[end] - ends[start]), end
                 if total >= file_ids:
                     yield flush()
                     total = 0
@@ -215,43 +267,41 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, file_ids: in
     files, place = fs.FileSystem.from_uri(folder)
     files.create_dir(place, recursive=True)
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = ordered.mapInArrow(write, "task long, k long, name string, n_docs long, n_ids long").collect()  # a row for each file
-    start, manifest = 0, []
-    for r in sorted(rows, key=lambda r: (r["task"], r["k"])):
-        manifest.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": start})
-        start += r["n_ids"]
-    with files.open_output_stream(f"{place}/manifest.json") as out:
-        out.write(json.dumps(manifest).encode())
-    return manifest
+    written = cut(ordered.mapInArrow(write, FILES)).withColumn("block", F.expr("task DIV 1000"))
+    # Prefix sums in two levels: over blocks of tasks, and in each block over its files.
+    blocks = written.groupBy("block").agg(F.sum("n_ids").alias("n"))
+    blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
+    own = F.sum("n_ids").over(Window.partitionBy("block").orderBy("task", "k")) - F.col("n_ids")
+    manifest = written.withColumn("own", own).join(F.broadcast(blocks), "block")  # a row for each thousand tasks
+    manifest.select("name", "n_docs", "n_ids", (F.col("base") + F.col("own")).alias("start")).write.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def read_ids(spark, folder: str, manifest: list[dict]) -> DataFrame:
-    """One row per document of the manifest's files: doc_id, start, n_tokens, ids_crc32."""
-    starts = {m["name"]: m["start"] for m in manifest}
+def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
+    """One row per document of the manifest's files: doc_id, start, n_tokens, ids_crc32. A file that is missing or holds other numbers is an error."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, place = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (base := starts.get(path.rpartition("/")[2])) is None:
-                    continue  # left by an attempt that didn't count
-                doc_ids, lengths, ids = unpack_file(raw.as_py())
+            for m in batch.to_pylist():
+                with files.open_input_file(f"{place}/{m['name']}") as f:
+                    doc_ids, lengths, ids = unpack_file(f.read())
+                if (len(doc_ids), len(ids)) != (m["n_docs"], m["n_ids"]):
+                    raise ValueError(f"{m['name']} isn't the file that the manifest names")
                 ends = np.cumsum(lengths.astype(np.int64))
                 first, view = ends - lengths.astype(np.int64), memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(first + base), "n_tokens": pa.array(ends - first), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(first + m["start"]), "n_tokens": pa.array(ends - first), "ids_crc32": pa.array(crc, pa.int64())})
 
-    out = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not manifest:
-        return spark.createDataFrame([], out)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtk").load(folder)
-    return files.select("path", "content").mapInArrow(rows, out)
+    dealt = manifest.repartition(min(max(manifest.count(), 1), 100_000))  # a task for each file, as far as that goes
+    return dealt.select("name", "n_docs", "n_ids", "start").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_ids(spark, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "ids")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    manifest = write_ids(documents(spark, sf_dir), folder, tokenizer_path(), end_id=2)
-    return read_ids(spark, folder, manifest)
+    folder = qualified(spark, scratch(spark, "ids"))
+    return read_ids(folder, write_ids(documents(spark, sf_dir), folder, tokenizer_path(), end_id=2))
 
 
 # -- packing: concatenate and cut
@@ -269,12 +319,11 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = 2048) -> DataFra
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        for doc_ids, raws, kind in encoded(batches, path):
-            end = np.array([end_id], kind).tobytes()
-            sizes = np.array([len(r) // kind.itemsize + 1 for r in raws], np.int64)
-            places = place + np.cumsum(sizes) - sizes
-            place += int(sizes.sum())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(raws), pa.int64()), "place": pa.array(places), "doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(sizes), "width": pa.array([kind.itemsize] * len(raws), pa.int32()), "ids": pa.array([r + end for r in raws], pa.binary())})
+        for doc_ids, ids, sizes in encoded(batches, path, end_id):
+            n, ends = len(sizes), np.append(0, np.cumsum(sizes))
+            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part, np.int64)), "place": pa.array(place + ends[:-1]), "doc_id": doc_ids, "n": pa.array(sizes), "width": pa.array(np.full(n, ids.itemsize, np.int32)), "ids": raw})
+            place += len(ids)
 
     placed = cut(docs.select("doc_id", "text").mapInArrow(first, "part long, place long, doc_id long, n long, width int, ids binary"))
     base, bases = 0, {}
