@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,17 +20,39 @@ from pyspark.sql.window import Window
 from .common import cut, documents, fold_of
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Letter runs longer than this are scored in chunks of so many letters.
-LONGEST = 40
+#: In words of more letters the sums are kept as logarithms, so that none underflows.
+LONG = 40
+#: Letters whose passes are held in memory together.
+SOME = 200_000
+#: The probabilities travel to every task: a row for each piece, a column for each language.
+MOST_LANGUAGES = 1000
 UNKNOWN = 1e-7
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: The letters below U+0250, all that a Latin text has; any script's letters, with the marks that follow them.
+_LATIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _B = 0xD1342543DE82EF95
 _U = np.uint64
 
 
 def words_of(text: str | None) -> list[str]:
-    out = _LETTERS.findall((text or "").lower())
-    return out if all(len(w) <= LONGEST for w in out) else [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
+    """The runs of letters of a text, in lower case."""
+    low = (text or "").lower()
+    return (_LATIN if low.isascii() or max(low) < "\u0250" else _LETTERS).findall(low)
+
+
+def some_words(words: list[str]) -> Iterator[list[int]]:
+    """The places of words, short ones and long ones apart, in groups of about SOME letters."""
+    for long in (False, True):
+        at, held = [], 0
+        for i, w in enumerate(words):
+            if (len(w) > LONG) == long:
+                at.append(i)
+                held += len(w)
+                if held >= SOME:
+                    yield at
+                    at, held = [], 0
+        if at:
+            yield at
 
 
 class Pieces:
@@ -84,6 +107,13 @@ class Pieces:
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; p: pieces x languages."""
+        out = np.zeros((len(words), p.shape[1]))
+        for at in some_words(words):
+            some = [words[i] for i in at]
+            out[at] = self._forward_logs(some, np.log(p)) if len(some[0]) > LONG else self._forward(some, p)
+        return out
+
+    def _forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         first, last, layers = self.lattice(words)
         out = np.zeros((last[-1] + 1, p.shape[1]))
         out[first] = 1
@@ -94,8 +124,26 @@ class Pieces:
             out[e[heads]] += np.add.reduceat(out[s] * p[q], heads, axis=0)
         return np.log(out[last])
 
+    def _forward_logs(self, words: list[str], logs: np.ndarray) -> np.ndarray:
+        first, last, layers = self.lattice(words)
+        out = np.full((last[-1] + 1, logs.shape[1]), -np.inf)
+        out[first] = 0
+        for start, stop, piece in layers:
+            order = np.argsort(stop, kind="stable")
+            s, e, q = start[order], stop[order], piece[order]
+            heads = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+            out[e[heads]] = np.logaddexp.reduceat(out[s] + logs[q], heads, axis=0)
+        return out[last]
+
     def expected(self, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts of words that stand n times, under one language's p."""
+        counts = np.zeros(self.count)
+        for at in some_words(words):
+            some = [words[i] for i in at]
+            counts += self._expected_logs(some, n[at], np.log(p)) if len(some[0]) > LONG else self._expected(some, n[at], p)
+        return counts
+
+    def _expected(self, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         first, last, layers = self.lattice(words)
         a, b = np.zeros(last[-1] + 1), np.zeros(last[-1] + 1)
         a[first] = 1
@@ -104,13 +152,25 @@ class Pieces:
         b[last] = 1
         for start, stop, piece in reversed(layers):
             np.add.at(b, start, b[stop] * p[piece])
-        weight, counts = np.zeros(len(a)), np.zeros(self.count)
-        for f, e, x in zip(first, last, n / a[last], strict=True):
-            weight[f : e + 1] = x
+        weight, counts = np.repeat(n / a[last], last - first + 1), np.zeros(self.count)
         for start, stop, piece in layers:
             np.add.at(counts, piece, a[start] * p[piece] * b[stop] * weight[start])
         return counts
 
+    def _expected_logs(self, words: list[str], n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        first, last, layers = self.lattice(words)
+        a, b = np.full(last[-1] + 1, -np.inf), np.full(last[-1] + 1, -np.inf)
+        a[first] = 0
+        for start, stop, piece in layers:
+            np.logaddexp.at(a, stop, a[start] + logs[piece])
+        b[last] = 0
+        for start, stop, piece in reversed(layers):
+            np.logaddexp.at(b, start, b[stop] + logs[piece])
+        weight, counts = np.repeat(np.log(n) - a[last], last - first + 1), np.zeros(self.count)
+        for start, stop, piece in layers:
+            np.add.at(counts, piece, np.exp(a[start] + logs[piece] + b[stop] + weight[start]))
+        return counts
+
 
 _PIECES: dict[str, Pieces] = {}
 
@@ -124,12 +184,20 @@ def pieces(path: str) -> Pieces:
 def train(docs: DataFrame, path: str, per_language: int = 1000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from at most per_language texts of each language (those whose ids hash least).
 
-    docs: doc_id, text, lang; rows with a null text or language teach nothing. The words are counted on the executors, and only sums for
-    the fixed pieces come back.
+    docs: doc_id, text, lang; rows with a null text or language teach nothing, repeated rows count as one when texts are chosen and each when
+    words are counted, a null id is an id of its own. More than MOST_LANGUAGES languages are an error. The words are counted on the
+    executors, and only sums for the fixed pieces come back.
     """
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = ranked.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select("doc_id", "lang")
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Ids that hash under a bound, about three times as many as wanted, are ranked; no language's rows meet in one task.
+    bound = {r["lang"]: float(min(1.0, (3 * per_language + 100) / r["rows"])) for r in sizes}
+    share = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])[F.col("lang")] if bound else F.lit(1.0)
+    few = known.filter(F.pmod(F.col("h"), F.lit(1 << 40)) < share * F.lit(float(1 << 40))).distinct()
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "doc_id")
+    ids = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select(F.col("doc_id").alias("own"), F.col("lang").alias("of"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -140,7 +208,7 @@ def train(docs: DataFrame, path: str, per_language: int = 1000, rounds: int = 3)
                 seen.update((lang, w) for w in words_of(text.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
-    texts = docs.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text")
+    texts = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("lang") == F.col("of"))).select("lang", "text")
     words = cut(texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(12))
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     size = pieces(path).count
@@ -169,12 +237,13 @@ def train(docs: DataFrame, path: str, per_language: int = 1000, rounds: int = 3)
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, most_words: int = 400_000) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs (doc_id, text): the likeliest language and its posterior under equal priors.
 
-    und and 0 for a null text, one without letters, or if no language was learned. Equal languages: the first in order.
+    und and 0 for a null text, one without letters, or if no language was learned. Equal languages: the first in order. Each row is judged by
+    its own text: repeated rows get equal results, rows with null ids are kept. Other columns are not read.
     """
-    # numpy arrays in closures travel with the job: pieces x languages, whatever the data's size.
+    sent = docs.sparkSession.sparkContext.broadcast(p)  # pieces x languages, MOST_LANGUAGES at most
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = pieces(path)
+        tool, p = pieces(path), sent.value
         known: dict[str, int] = {}
         held = np.zeros((0, len(langs)))
         for batch in batches:
@@ -186,7 +255,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, most_w
                 new = list(set().union(*texts).difference(known))
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    held = np.concatenate([held, *(tool.forward(new[k : k + 20_000], p) for k in range(0, len(new), 20_000))])
+                    held = np.concatenate([held, tool.forward(new, p)])
                 pred, score = [], []
                 for w in texts:
                     if not w:
