@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -155,27 +156,35 @@ class ShardStore:
             base = self.manifest()
         return base["version"]
 
-    def vacuum(self) -> list[str]:
-        """Deletes the runs that the latest manifest doesn't name; older versions can't be read after it."""
-        live = {r["name"] for r in self.manifest()["runs"]}
+    def vacuum(self, keep: int = 1, grace_seconds: float = 86_400) -> list[str]:
+        """Deletes the runs that only versions before the last keep ones name; these versions are gone then. Returns the names of the runs.
+
+        A run that no manifest names may be one that a writer is about to commit: it goes only when it is older than grace_seconds.
+        """
+        old, kept = self.versions()[: -max(keep, 1)], self.versions()[-max(keep, 1) :]
+        live = {r["name"] for v in kept for r in self.manifest(v)["runs"]}
+        named = {r["name"] for v in old for r in self.manifest(v)["runs"]}
+        for v in old:  # first, so that no version is seen without its files
+            self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
         data = self._path(f"{self.root}/data")
-        dead = [s.getPath().getName() for s in self._fs.listStatus(data) if s.getPath().getName() not in live] if self._fs.exists(data) else []
+        found = {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._fs.listStatus(data)} if self._fs.exists(data) else {}
+        dead = sorted(n for n, at in found.items() if n not in live and (n in named or time.time() - at > grace_seconds))
         for name in dead:
             self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
         return dead
 
     def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the latest by default; of a store without one, an empty table without columns."""
         m = self.manifest(version)
         if m["schema"] is None:
-            raise ValueError("nothing has been appended yet")
+            return self.spark.createDataFrame([], StructType([]))
         return self._read(m["schema"], [f for r in m["runs"] for f in r["files"]])
 
 
 def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive in eight parts, are compacted, and are read back from the last version."""
+    """The documents arrive in eight parts, are compacted, and are read back from the last version. Every version stays readable."""
     store, docs = ShardStore(spark, scratch(spark, "shards"), target_bytes=64 << 20), table(spark, sf_dir, "documents")
     for k in range(8):
         store.append(docs.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8)) == k))
         store.compact()
-        store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
