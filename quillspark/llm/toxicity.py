@@ -66,8 +66,11 @@ def features(text: str | None, known: Distances) -> np.ndarray:
     return np.concatenate((np.log1p(counts), np.log((counts + 0.1) / (len(saved) + 1))))
 
 
-def _distinctive(sample: DataFrame, most: int) -> list[str]:
-    """Word beginnings of 3 to 12 characters, or whole words with a space, that set toxic texts apart; none begins with another."""
+def _distinctive(sample: DataFrame, most: int, candidates: int) -> list[str]:
+    """Word beginnings of 3 to 12 characters, or whole words with a space, that set toxic texts apart; none begins with another.
+
+    Of the candidates that stand out most, those are taken, most at most, that no better one covers.
+    """
     w = item_words(F.col("text"))
     pairs = sample.select("toxic", F.explode(F.arrays_zip(w.alias("w"), F.concat(F.array(F.lit("")), w).alias("p"))).alias("x")).filter("x.w IS NOT NULL")
     seen = cut(pairs.select("toxic", F.col("x.w").alias("w"), F.col("x.p").alias("p")).distinct().groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")))
@@ -82,7 +85,7 @@ def _distinctive(sample: DataFrame, most: int) -> list[str]:
     ratio = 2 * (part("a", share) + part("b", 1 - share))
     chosen: list[str] = []
     found = by.filter((F.col("a") >= 5) & (F.col("a") * total[1] > 6 * F.col("b") * total[0])).withColumn("g", F.round(ratio)).filter("g >= 40")
-    for r in found.orderBy(F.desc("g"), F.desc(F.length("start")), "start").limit(20 * most).collect():
+    for r in found.orderBy(F.desc("g"), F.desc(F.length("start")), "start").limit(candidates).collect():
         if len(chosen) < most and not any(r["start"].startswith(c) or c.startswith(r["start"]) for c in chosen):
             chosen.append(r["start"])
     return chosen
@@ -96,37 +99,59 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_starts: int = 400) -> Model:
+def _pieces(sample: DataFrame, most: int, length: int = 60) -> list[bytes]:
+    """At most most stretches of length characters of the ordinary texts' words, those that hash least."""
+    line = F.concat(F.lit(" "), F.array_join(item_words(F.col("text")), " "))
+    starts = F.sequence(F.lit(0), F.length("line") - 1, F.lit(length))
+    cut_up = sample.filter("toxic = 0").select(line.alias("line")).select(F.explode(F.transform(starts, lambda i: F.substring("line", i + 1, F.lit(length)))).alias("piece"))
+    least = cut_up.select("piece", F.xxhash64("piece").alias("h")).orderBy("h", "piece").limit(most)
+    return [r["piece"].encode("utf-8", "surrogatepass") for r in least.collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_starts: int = 400, candidates: int = 8000, most_pieces: int = 30_000, miss_cost: float = 2.0) -> Model:
     """A model from at most per_class toxic and four times as many ordinary texts, those whose ids hash least. labels: doc_id, toxic (others than 0 and 1 are skipped).
 
-    Without texts of both labels the score is the same for every text.
+    Whatever the texts' lengths, the driver gets candidates word beginnings, most_pieces stretches of 60 characters to train the dictionary of ordinary text,
+    and 2 * STEPS numbers for each text. A toxic text that is missed costs as much as miss_cost false alarms, so a score of 0.5 stands for
+    a probability of 1 / (1 + miss_cost). A null id is never sampled; of rows that repeat an id, one text is. Without texts of
+    both labels, or where no word beginning sets them apart, the score follows from the labels' shares alone, and is the same for every text or nearly so.
     """
     import zstandard as z
 
     picked = [labels.filter(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, per_class), (0, 4 * per_class))]
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id", "toxic"]).select("text", F.col("toxic").cast("int").alias("toxic")))
-    rows = sample.collect()  # at most 5 * per_class texts
-    starts = _distinctive(sample, most_starts)
-    plain = [b" " + b" ".join(_WORDS.findall((r["text"] or "").encode("utf-8", "surrogatepass").lower())) for r in rows if r["toxic"] == 0]
-    pieces = [p[i : i + 60] for p in plain for i in range(0, len(p), 60)][:30_000]
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    sample = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", F.col("toxic").cast("int").alias("toxic")))
+    starts, pieces = _distinctive(sample, most_starts, candidates), _pieces(sample, most_pieces)
     try:
         ordinary = z.train_dictionary(16_384, pieces).as_bytes()
     except z.ZstdError:  # too little text to train on
         ordinary = b"".join(pieces)[-16_384:]
     toxic = b"".join(b" " + s.encode("utf-8", "surrogatepass") for s in reversed(starts)) + b" "
-    known, y = Distances(ordinary, toxic), np.array([r["toxic"] for r in rows], float)
-    x = np.array([features(r["text"], known) for r in rows]).reshape(-1, 2 * STEPS)
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Distances(ordinary, toxic)
+        for batch in batches:
+            x = [features(t.as_py(), known).tolist() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    rows = sorted((r["toxic"], r["x"]) for r in sample.mapInArrow(measured, "toxic int, x array<double>").collect())
+    x, y = np.array([r[1] for r in rows]).reshape(-1, 2 * STEPS), np.array([r[0] for r in rows], float)
     if not len(set(y.tolist())) == 2:
         return Model(ordinary, toxic, (0.0,) * 2 * STEPS, (1.0,) * 2 * STEPS, (-2.0,) + (0.0,) * 2 * STEPS)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(ordinary, toxic, tuple(centre), tuple(scale), tuple(_fitted((x - centre) / scale, y)))
+    weights = _fitted((x - centre) / scale, y)
+    weights[0] += np.log(miss_cost)
+    return Model(ordinary, toxic, tuple(centre), tuple(scale), tuple(weights))
 
 
 _KNOWN: dict[Model, Distances] = {}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of docs (doc_id, text), by the whole text alone; a null text counts as empty."""
+    """(doc_id, score) for every row of docs (doc_id, text), by the whole text alone; a null text counts as empty.
+
+    Repeated rows get equal scores, rows with null ids are kept. Other columns are not read.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _KNOWN:

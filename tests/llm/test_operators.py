@@ -104,10 +104,14 @@ def test_id_files_round_trip(spark, odd, odd_rows, clashing, empty, tmp_path):
     for k, df in enumerate((odd, clashing)):
         folder = f"file://{tmp_path}/{k}"
         manifest = tokens.write_ids(df, folder, path, 2, file_ids=5000)
-        assert sum(m["n_docs"] for m in manifest) == len(want) and len(manifest) > 1
-        got = [tuple(r) for r in tokens.read_ids(spark, folder, manifest).orderBy("start").collect()]
+        assert manifest.agg(F.sum("n_docs")).first()[0] == len(want) and manifest.count() > 1
+        got = [tuple(r) for r in tokens.read_ids(folder, manifest).orderBy("start").collect()]
         assert got == want
-    assert tokens.read_ids(spark, f"file://{tmp_path}/e", tokens.write_ids(empty, f"file://{tmp_path}/e", path, 2)).count() == 0
+    assert tokens.read_ids(f"file://{tmp_path}/e", tokens.write_ids(empty, f"file://{tmp_path}/e", path, 2)).count() == 0
+    gone = manifest.first()["name"]
+    (tmp_path / "1" / gone).unlink()
+    with pytest.raises(Exception, match=gone):
+        tokens.read_ids(folder, manifest).count()
 
 
 def test_id_coding():
@@ -116,35 +120,39 @@ def test_id_coding():
     assert docs == [5, None] and lengths.tolist() == [6, 70_000] and (back == ids).all()
 
 
-def test_encoder_equals_direct_encoding():
-    coder = tokens.Encoder(tokens.tokenizer_path(), most_units=3)
-    texts = ["", "a  b", "  lead", "trail  ", "a\n \nb", "x  y z", "<|endoftext|> it's", "a   b c", "\n\n", "a\t b", " ", "é ü\r\n ok 12 34x", "a \n", "one two three four five one two"]
-    assert coder.encode(texts) == coder._direct(texts) == coder.encode(texts)
-
-
 def test_encoder_equals_the_library():
+    """Runs of white space of all kinds, marks, contractions, added tokens: the ids are those of the library for each text alone."""
+    import random
+
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    path = tokens.tokenizer_path()
+    path, r = tokens.tokenizer_path(), random.Random(4)
     plain, coder = Tokenizer.from_file(path), tokens.Encoder(path)
-    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|", "|endoftext|> <|end oftext|> it", "one two  three"]
-    for _ in range(2):
-        assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert np.frombuffer(coder.encode(texts[:1])[0], coder.dtype).tolist() == [87, 220, 50256, 331]
+    texts = ["", "a  b", "  lead", "trail  ", "a\n \nb", "x  y z", "<|endoftext|> it's", "a   b c", "\n\n", "a\t b", " ", "é ü\r\n ok 12 34x", "a \n", "one two three four five one two", None]
+    texts += ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|", "|endoftext|> <|end oftext|> it", "one two  three", "\n", "\nA", "a\n", "a\n\n", "a\n\nb", "a\n\n\nb", "a\nb\nc.\nD!! e_? 'tis"]
+    bits = ["a", "Word", "don't", "x's.", "12", "3rd", "é", "ß…", "中文", "٣", "²", "...", "!?", "_", "(q)", "'", "\"", " ", " ", " ", "\n", "\n", "\t", "\r", "\u00a0", "\u2003", "\u0085", "\x1c", "\x0b", "\u200b", "ʰ", "e\u0301"]
+    texts += ["".join(r.choices(bits, k=r.randrange(1, 14))) for _ in range(4000)]
+    for end, some in ((None, texts), (2, texts), (2, []), (None, texts[:1])):
+        ids, sizes = coder.encode(pa.array(some, pa.string()), end)
+        want = [plain.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]) for t in some]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == (want or [[]])
 
 
 def test_literals_in_id_files_and_sequences(spark, tmp_path):
     """The literal of an added token is one id: it counts as one, and moves the start of later documents so."""
     docs, path = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "z")], "doc_id long, text string"), tokens.tokenizer_path()
     folder = f"file://{tmp_path}/ids"
-    got = rows(tokens.read_ids(spark, folder, tokens.write_ids(docs, folder, path, 2)), "doc_id", "start", "n_tokens", "ids_crc32")
+    got = rows(tokens.read_ids(folder, tokens.write_ids(docs, folder, path, 2)), "doc_id", "start", "n_tokens", "ids_crc32")
     assert got[0] == (1, 0, 5, zlib.crc32(np.array([87, 220, 50256, 331, 2], "<u4").tobytes())) and got[1][:3] == (2, 5, 2)
     assert rows(tokens.pack(docs, path, 1), "doc_id", "doc_tokens") == [(1, 5), (2, 2)]
 
 
 def test_packing(spark, odd, odd_rows, empty):
+    from tokenizers import Tokenizer
+
     path = tokens.tokenizer_path()
-    coder = tokens.Encoder(path)
+    coder = Tokenizer.from_file(path)
     got = tokens.pack(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), path, 1, 256).collect()
     texts = {d: t for d, t, *_ in odd_rows if d is not None}
     parts = {}
@@ -154,7 +162,7 @@ def test_packing(spark, odd, odd_rows, empty):
         parts.setdefault(r["doc_id"], []).append((r["start"], ids))
     for d, t in texts.items():
         whole = np.concatenate([x for _, x in sorted(parts[d], key=lambda p: p[0])])
-        assert whole.tolist() == [*np.frombuffer(coder.encode([t or ""])[0], coder.dtype).tolist(), 1]
+        assert whole.tolist() == [*coder.encode(t or "", add_special_tokens=False).ids, 1]
     fill = Counter()
     for r in got:
         fill[r["sequence_id"]] += r["length"]
@@ -182,6 +190,29 @@ def test_compaction(spark, odd, empty, tmp_path):
         store._commit(stale, stale["schema"], [])
 
 
+def test_tiers_and_vacuum(spark, tmp_path):
+    """Runs of one tier are merged when there are fanout of them; vacuum spares what no manifest names yet, and what the kept versions name."""
+    store = shards.ShardStore(spark, str(tmp_path / "t"), target_bytes=1 << 20, fanout=3, base_bytes=1000)
+    assert store.read().columns == [] and store.vacuum() == []
+    run = lambda n, size: shards.Run(n, ("f",), size)
+    assert [store.tier(run("x", n)) for n in (0, 1000, 1001, 2999, 3001, 9001)] == [0, 0, 0, 0, 1, 2]
+    few, many = [run("a", 10), run("b", 500)], [run("c", 4000), run("d", 5000), run("e", 8000)]
+    assert store._like(few) == [] and store._like(few + many) == many and store._like([*few, run("z", 7), *many])[0].name == "a"
+    assert store._like([run(n, 1 << 20) for n in "pqr"]) == []  # full files are never rewritten
+    part = lambda k: spark.createDataFrame([(k,)], "doc_id long")
+    for k in range(3):
+        store.append(part(k))
+    store.compact()
+    pending = store._write(part(9))
+    assert store.vacuum(keep=2) == [] and store.read(store.versions()[-2]).count() == 3
+    base = store.manifest()
+    assert len(store.vacuum()) == 3 and store.versions() == [base["version"]] and store.read().count() == 3
+    store._commit(base, base["schema"], [shards.Run(r["name"], tuple(r["files"]), r["bytes"]) for r in base["runs"]] + [pending])
+    assert rows(store.read(), "doc_id") == [(0,), (1,), (2,), (9,)]
+    lost = store._write(part(7))
+    assert lost.name in store.vacuum(grace_seconds=-1) and store.read().count() == 4
+
+
 def test_writers_between_claim_and_rename(spark, tmp_path):
     """The second of two writers of one version fails, though the first has claimed it and not yet named it; a lost claim is recovered."""
     part = lambda k: spark.createDataFrame([(k,)], "doc_id long")
@@ -307,6 +338,31 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(tool.forward(texts, p), want)
     counts = tool.expected(texts, np.ones(len(texts)), p[:, 0])
     assert counts.sum() >= len(texts)
+    # The same by logarithms, which long words take; those don't underflow, and nothing of them is cut off.
+    assert np.allclose(tool._forward_logs(texts, np.log(p)), want) and np.allclose(tool._expected_logs(texts, np.ones(len(texts)), np.log(p[:, 0])), counts)
+    long = ["thing" * 400, "a", "straße" * 9]
+    got = tool.forward(long, p)
+    assert np.isfinite(got).all() and (got[0] < got[2]).all() and np.allclose(got[1], tool.forward(["a"], p))
+    assert np.isfinite(tool.expected(long, np.ones(3), p[:, 0])).all()
+
+
+def test_letters():
+    assert language.words_of("² ½ 12 _ Ⅷ") == [] == language.words_of(None)
+    assert language.words_of("Straße x²y É-e\u0301t 中文 हिन्दी") == ["straße", "x", "y", "é", "e\u0301t", "中文", "हिन्दी"]
+    assert len(language.words_of("a" * 1000)) == 1
+
+
+def test_language_sample_has_no_cut(spark):
+    """Rows that repeat an id, null ids and a hot language: the sample is that of a plain ranking."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(language.VOCABULARY)
+    data = [(i, f"the word{'abcdefghij'[i % 10]} und", "en" if i % 20 else "de") for i in range(600)] + [(None, "nada mas", "es"), (5, None, "en"), (6, "x", None)]
+    df = spark.createDataFrame(data * 2, "doc_id long, text string, lang string").repartition(5)
+    langs, p = language.train(df, path, per_language=20, rounds=1)
+    assert langs == ["de", "en", "es"] and np.isfinite(p).all()
+    one, q = language.train(df.coalesce(1), path, per_language=20, rounds=1)
+    assert one == langs and np.allclose(p, q)
 
 
 def test_language_model(spark, odd, odd_rows, empty):
