@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Folders that belong to the runtime, and files that belong to the package format.
 RUNTIME_PREFIXES = ("theme/", "libs/", "idevices/", "content/css/", "content/img/")
 PACKAGE_FILES = ("content.xml", "content.dtd", "screenshot.png", "search_index.js", "libs/elpx-manifest.js")
-PSEUDO_SCHEMES = ("javascript", "mailto", "tel", "sms", "blob", "about")
+PSEUDO_SCHEMES = ("exe-node", "exe-package", "javascript", "mailto", "tel", "sms", "about", "blob", "geo")
+CONTEXT = "{{context_path}}"
 
 #: White space in the wide sense: Unicode spaces and the byte order mark.
 _SPACE = "[\\s\\x{FEFF}]+"
@@ -110,23 +111,49 @@ def name_problem(path: Column, most_depth: int = 64) -> Column:
     )
 
 
-def link_form(value: Column) -> Column:
-    """The form of a reference value; the first rule that fits."""
+def unquoted(value: Column) -> Column:
+    """A value without the quotes, plain or escaped, that are left around it."""
+    return F.regexp_replace(F.regexp_replace(value, "^(?:\\\\?[\"'])+", ""), "(?:\\\\?[\"'])+$", "")
+
+
+def link_form(value: Column, editable: Column | None = None) -> Column:
+    """The form of a reference value; the first rule that fits. editable: the value stands in the editor's data, not in a file."""
     v = trimmed(value)
-    scheme = F.lower(F.regexp_extract(v, "^([A-Za-z][A-Za-z0-9+.-]+):", 1))
+    bare = unquoted(v)
+    wrapped, edit = bare != v, F.lit(False) if editable is None else editable
+    drive = v.rlike("^[A-Za-z]:[\\\\/]")
+    scheme = F.when(drive, "").otherwise(F.lower(F.regexp_extract(v, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
     return (
         F.when(v == "", "empty")
         .when(v.startswith("#"), "fragment")
-        .when(v.startswith("{{context_path}}/"), F.when(F.substring(v, 18, 18) == "content/resources/", "resources-legacy").otherwise("context-path"))
+        .when(v.startswith(CONTEXT), "context-path")
+        .when(wrapped & bare.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"), "absolute-url")
+        .when(wrapped & bare.startswith(CONTEXT), "context-path")
         .when(scheme == "asset", "asset-uri")
         .when(scheme == "data", "data-uri")
         .when(scheme == "file", "local-file")
         .when(scheme.isin(*PSEUDO_SCHEMES), "pseudo")
         .when(scheme != "", "absolute-url")
-        .when(v.rlike("^[A-Za-z]:") | v.startswith("\\\\"), "local-file")
+        .when(drive | v.startswith("\\\\"), "local-file")
         .when(v.startswith("//"), "protocol-relative")
         .when(v.startswith("/"), "root-relative")
-        .when(v.startswith("resources/"), "resources-legacy")
-        .when(v.startswith("files/tmp/"), "stale-editor-path")
+        .when(edit & v.startswith("resources/"), "resources-legacy")
+        .when(edit & path_part(v).rlike(STALE), "stale-editor-path")
         .otherwise("relative")
     )
+
+
+#: A path of the editor's upload folder; its last folder and name.
+STALE = "^files/tmp/(?:[^/]+/)*?([^/]+/[^/]+)$"
+
+
+def from_folder(folder: Column, path: Column) -> Column:
+    """folder (empty, or with its slash) and path joined, . and .. resolved, empty segments kept; null above the root."""
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok"))
+
+    def step(a: Column, s: Column) -> Column:
+        size = F.size(a["at"])
+        up = F.struct(F.slice(a["at"], F.lit(1), F.greatest(size - 1, F.lit(0))).alias("at"), (a["ok"] & (size > 0)).alias("ok"))
+        return F.when(s == ".", a).when(s == "..", up).otherwise(F.struct(F.concat(a["at"], F.array(s)).alias("at"), a["ok"].alias("ok")))
+
+    return F.aggregate(F.split(F.concat(folder, path), "/"), start, step, lambda a: F.when(a["ok"], F.array_join(a["at"], "/")))

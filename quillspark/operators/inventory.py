@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 from ..functions.paths import ancestors, basename, entry_role
 from ..functions.text import slug
 
-#: Files that browsers ask for without a reference.
-FAVICONS = ("favicon.ico", "favicon.png", "favicon.svg", "apple-touch-icon.png")
+#: Names of site icons, which browsers find without a reference; what makes a folder a bundle, and folders that never are.
+FAVICON = "(?i)(?:^|/)favicon\\.(?:ico|png|svg|gif|jpe?g|webp)$"
+ACTIVE = "(?i)\\.(?:html?|xhtml|js|mjs|swf|json|xml)$"
+NO_BUNDLE = "^(?:content/resources/|custom/|content/resources/[0-9]{14}[A-Z0-9]{6}/)$"
 
 
 def classify_usage(entries: DataFrame, refs: DataFrame) -> DataFrame:
@@ -33,54 +35,79 @@ def classify_usage(entries: DataFrame, refs: DataFrame) -> DataFrame:
     reasons = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reason"))), lambda r: r["reason"]).alias("reasons"))
     # A prefix join as an equi-join: every folder above an entry against the folders that hold active content.
     folder = F.element_at(ancestors(F.col("path")), -1)
-    active = entries.filter(F.col("path").startswith("content/resources/") & F.lower("path").rlike("\\.(html?|js|swf|json|xml)$")).select("package_id", folder.alias("above"), "entry_index").filter(~F.col("above").isin("content/resources/"))
+    active = entries.filter((entry_role(F.col("path")) == "user-asset") & F.col("path").rlike(ACTIVE)).select("package_id", folder.alias("above"), "entry_index").filter(~F.col("above").rlike(NO_BUNDLE))
     bundles = active.groupBy("package_id", "above").agg(F.min("entry_index").alias("found"))
     inside = entries.select("package_id", "path", F.explode(ancestors(F.col("path"))).alias("above")).join(bundles, ["package_id", "above"])
     bundle = inside.groupBy(*keys).agg(F.min_by("above", "found").alias("bundle"))
     out = entries.withColumn("role", entry_role(F.col("path"))).join(strong, keys, "left").join(reasons, keys, "left").join(bundle, keys, "left").fillna(0, ["strong"])
     usage = (
         F.when(F.col("role") != "user-asset", "not-applicable").when(F.col("strong") > 0, "used").when(F.col("bundle").isNotNull(), "protected").when(F.col("path").startswith("custom/"), "protected")
-        .when(F.col("reasons").isNotNull(), "uncertain").when(basename(F.col("path")).isin(*FAVICONS), "protected").otherwise("unreferenced")
+        .when(F.col("reasons").isNotNull(), "uncertain").when(F.col("path").rlike(FAVICON), "protected").otherwise("unreferenced")
     )
     return out.withColumn("usage", usage)
 
 
 def keep_of_group(members: DataFrame, by: list[str]) -> DataFrame:
-    """Of each group (path, references) the member that stays: most references, then the shortest path, then the least; the others name it."""
-    w = Window.partitionBy(*by).orderBy(F.desc("references"), F.length("path"), "path")
-    return members.withColumns({"place": F.row_number().over(w), "keep": F.first("path").over(w)})
+    """Of each group (path, references) the member that stays: most references, then the shortest path, then the least; the others name it, with place 2.
+
+    The least is aggregated before it is joined back, so a group of many copies is never sorted in one task.
+    """
+    least = F.min(F.struct((-F.col("references")).alias("r"), F.length("path").alias("n"), F.col("path").alias("keep")))
+    kept = members.groupBy(*by).agg(least.alias("least")).select(*by, F.col("least.keep").alias("keep"))
+    return members.join(kept, by).withColumn("place", F.when(F.col("path") == F.col("keep"), 1).otherwise(2))
+
+
+#: Marks that copying leaves on a name, and extensions of known formats that are dropped inside one.
+COPY_PREFIX = "(?i)^(?:copia\\s+de|copy\\s+of|kopie\\s+von|copie\\s+de)\\s+"
+COPY_SUFFIX = "(?i)(?:\\s*[-–—_]\\s*|\\s+)(?:copia|copy|kopie|copie)(?:\\s*\\(?\\d+\\)?)?$"
+NUMBER_SUFFIX = "\\s*[(\\[]\\d+[)\\]]$"
+INNER_EXTENSION = "(?i)(?:\\s*\\.+\\s*(?:pdf|jpe?g|png|gif|webp|svg|bmp|tiff?|heic|mp3|mp4|m4a|m4v|wav|aiff?|flac|ogg|oga|ogv|opus|webm|mov|avi|docx?|xlsx?|pptx?|odt|ods|odp|rtf|txt|html?|zip))+$"
+
+
+def _without_marks(stem: Column) -> Column:
+    """stem without copy marks, taken off as often as there are any: 255 characters, a name's most, hold no more than 85."""
+
+    def once(s: Column) -> Column:
+        for pattern in (COPY_PREFIX, COPY_SUFFIX, NUMBER_SUFFIX):
+            s = F.regexp_replace(s, pattern, "")
+        return F.trim(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(85), F.floor(F.length(stem) / 3).cast("int") + 1)), F.trim(stem), lambda s, _: F.when(once(s) == s, s).otherwise(once(s)))
 
 
 def clean_name(path: Column) -> Column:
-    """A base name as a slug with its extension in lower case; copy marks go; archivo if nothing is left."""
+    """A base name as a slug with its extension in lower case; copy marks and inner extensions go; archivo if nothing is left."""
     name = basename(path)
-    ext = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]{1,8})$", 1))
-    stem = F.when(ext != "", F.regexp_extract(name, "^(.*)\\.[A-Za-z0-9]{1,8}$", 1)).otherwise(name)
-    stem = F.regexp_replace(stem, "(?i)(?:[ _-]*(?:\\(\\d+\\)|- ?cop(?:y|ia)(?: ?\\(\\d+\\))?))+$", "")
-    made = slug(stem)
-    return F.concat(F.when(made == "", "archivo").otherwise(made), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(F.lit("")))
+    parts = "^(.*?[^.\\s])\\s*\\.+([A-Za-z0-9]{1,8})$"
+    ext = F.lower(F.regexp_extract(F.trim(name), parts, 2))
+    stem = F.when(ext != "", F.regexp_replace(F.regexp_extract(F.trim(name), parts, 1), INNER_EXTENSION, "")).otherwise(name)
+    made, whole = slug(_without_marks(stem)), slug(stem)
+    return F.concat(F.when(made != "", made).when(whole != "", whole).otherwise("archivo"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(F.lit("")))
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """wanted (package_id, ordinal, name) with final: name, or name-2, name-3, ... until it is free, in order, whatever the case.
+    """wanted (package_id, ordinal, name) with final: name, or name-2, name-3, ... with numbers that are free, whatever the case.
 
-    Each round gives every open row its next name at once; of rows with the same one the first gets it. A round only
-    leaves rows whose name was taken, so there are as many rounds as the most-wanted name has rows; a package's names are few.
+    In each package the first row of a name that nothing holds keeps it. The others of a stem and extension get, in their order, the numbers from 2 on that
+    neither taken nor wanted holds: a stem's numbers are one sequence without the held ones, so no row waits for another.
     """
-    from ..sources.scratch import settled
-
-    stem, ext = F.regexp_replace("name", "\\.[^.]*$", ""), F.regexp_extract("name", "(\\.[^.]*)$", 1)
-    open_rows = settled(wanted.withColumn("n", F.lit(1)))
-    held, done = taken.select("package_id", F.lower("name").alias("slot")).distinct(), None
-    while not open_rows.isEmpty():
-        tried = open_rows.withColumn("final", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), F.col("n").cast("string"), ext))).withColumn("slot", F.lower("final"))
-        first = F.row_number().over(Window.partitionBy("package_id", "slot").orderBy("n", "ordinal"))
-        marked = settled(tried.join(held.withColumn("is_held", F.lit(True)), ["package_id", "slot"], "left").withColumn("ok", F.col("is_held").isNull() & (first == 1)))
-        won = marked.filter("ok")
-        done = won.select("package_id", "ordinal", "name", "final") if done is None else done.unionByName(won.select("package_id", "ordinal", "name", "final"))
-        held = held.unionByName(won.select("package_id", "slot"))
-        open_rows = marked.filter("NOT ok").select("package_id", "ordinal", "name", (F.col("n") + 1).alias("n"))
-    return done if done is not None else wanted.withColumn("final", F.col("name"))
+    parts = lambda c: (F.regexp_extract(c, "^(.*?)(\\.[^.]*)?$", 1), F.regexp_extract(c, "(\\.[^.]*)$", 1))
+    stem, ext = parts(F.col("name"))
+    rows = wanted.withColumns({"stem": stem, "ext": ext, "slot": F.lower("name")})
+    held = taken.select("package_id", F.lower("name").alias("slot")).distinct()
+    first = F.row_number().over(Window.partitionBy("package_id", "slot").orderBy("ordinal")) == 1
+    marked = rows.join(held.withColumn("is_held", F.lit(True)), ["package_id", "slot"], "left").withColumn("own", F.col("is_held").isNull() & first)
+    # Held numbers of each stem: names of the form stem-n.ext that are taken, or that a row keeps.
+    names = held.unionByName(marked.filter("own").select("package_id", "slot")).distinct()
+    base, tail = parts(F.col("slot"))
+    numbered = names.select("package_id", F.regexp_extract(base, "^(.*)-([1-9][0-9]{0,8})$", 1).alias("low_stem"), tail.alias("low_ext"), F.regexp_extract(base, "^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("long").alias("n")).filter("n >= 2")
+    used = numbered.groupBy("package_id", "low_stem", "low_ext").agg(F.array_sort(F.collect_set("n")).alias("used"))
+    later = marked.filter("NOT own").withColumns({"low_stem": F.lower("stem"), "low_ext": F.lower("ext")})
+    later = later.withColumn("k", F.row_number().over(Window.partitionBy("package_id", "low_stem", "low_ext").orderBy("ordinal")))
+    # The k-th number from 2 that isn't held: each held one at or below the running number moves it on by one.
+    number = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), (F.col("k") + 1).cast("long"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    made = later.join(used, ["package_id", "low_stem", "low_ext"], "left").select("package_id", "ordinal", "name", F.concat("stem", F.lit("-"), number.cast("string"), "ext").alias("final"))
+    return marked.filter("own").select("package_id", "ordinal", "name", F.col("name").alias("final")).unionByName(made)
 
 
 def plan(parts: Iterable[DataFrame]) -> DataFrame:

@@ -30,10 +30,19 @@ def overlaps(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     return rows.withColumn("before", before).groupBy(by).agg(F.count_if(F.col(start) < F.col("before")).alias("overlaps"), F.coalesce(F.sum(F.when(F.col(start) > F.col("before"), F.col(start) - F.col("before"))), F.lit(0)).alias("gaps"))
 
 
-def within_limit(rows: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
-    """rows with the running total of size in their group, and whether it still keeps the limit."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).withColumn("within", F.col("running") <= limit)
+def within_limit(rows: DataFrame, by: str, order: str, size: str, limit: int, span: int = 10_000) -> DataFrame:
+    """rows with the running total of size in their group, and whether it still keeps the limit. order is a whole number without repeats.
+
+    Totals of spans of the order are summed up first, so a task holds one span of a group, not the group.
+    """
+    part = F.expr(f"`{order}` DIV {span}")
+    sums = rows.groupBy(by, part.alias("span")).agg(F.sum(size).alias("total"))
+    before = sums.select(by, "span", (F.sum("total").over(Window.partitionBy(by).orderBy("span")) - F.col("total")).alias("before"))
+    own = Window.partitionBy(by, "span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut_up = rows.withColumn("span", part).withColumn("own", F.sum(size).over(own)).alias("r")
+    joined = cut_up.join(before.alias("b"), F.col(f"r.{by}").eqNullSafe(F.col(f"b.{by}")) & F.col("r.span").eqNullSafe(F.col("b.span")))
+    out = joined.select("r.*", (F.col("own") + F.col("before")).alias("running")).drop("own", "span")
+    return out.withColumn("within", F.col("running") <= limit)
 
 
 def largest(rows: DataFrame, by: str, size: str, tie: str, n: int) -> DataFrame:
@@ -48,11 +57,9 @@ def collisions(rows: DataFrame, by: list[str], key: Column, order: str) -> DataF
 
 def collapsed(rows: DataFrame, by: str, size: str, order: str, most: int = 3) -> DataFrame:
     """Groups of up to most rows as rows; larger ones as one line with a count, and a sum of sizes if all are known."""
-    w = Window.partitionBy(by)
-    counted = rows.withColumns({"n": F.count("*").over(w), "known": F.count(size).over(w)})
-    few = counted.filter(F.col("n") <= most).select(by, F.col(order).alias("first"), F.lit(1).cast("long").alias("n"), F.col(size).alias("size"))
-    many = counted.filter(F.col("n") > most).groupBy(by).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.when(F.count(size) == F.count("*"), F.sum(size)).alias("size"))
-    return few.unionByName(many)
+    sums = rows.groupBy(by).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.when(F.count(size) == F.count("*"), F.sum(size)).alias("size"))
+    few = rows.join(sums.filter(F.col("n") <= most).select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    return few.select(by, F.col(order).alias("first"), F.lit(1).cast("long").alias("n"), F.col(size).alias("size")).unionByName(sums.filter(F.col("n") > most))
 
 
 def difference(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images as G
 from ..functions import media as M
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions import values as V
+from ..functions import video as W
+from ..operators import compare as C
+from ..operators import diagnostics as N
 from ..operators import inventory as I
 from ..operators import links as L
 from ..operators import relations as R
 from ..operators import scan as S
+from ..operators import summary as Y
 from ..sources import documents as D
 from ..sources import zip as Z
 
@@ -216,10 +222,10 @@ def report_percent(spark, d):
     return sums.select("l_orderkey", R.percent_saved(F.col("o").cast("double"), F.col("n").cast("double")).alias("saved"))
 
 
-@query(f"WITH {_LINKS}, r AS (SELECT DISTINCT substr(v, 2) AS v FROM l WHERE v LIKE '/%'), e AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '/', 'g'), '/') AS path FROM part UNION SELECT DISTINCT upper(v) FROM r WHERE length(v) = 3 AND regexp_matches(v, '^[A-Za-z]+$')), x AS (SELECT v, max(path) FILTER (WHERE path = v) AS same, count(DISTINCT path) AS n, min(path) AS one FROM r LEFT JOIN e ON lower(path) = lower(v) WHERE regexp_matches(v, '^[A-Za-z]+$') GROUP BY v) SELECT v AS value, CASE WHEN n = 0 THEN 'missing' WHEN same IS NOT NULL OR n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN same IS NOT NULL THEN same WHEN n = 1 THEN one END AS target, CASE WHEN n > 0 AND same IS NULL THEN 'case' END AS lenient FROM x")
+@query(f"WITH {_LINKS}, r AS (SELECT DISTINCT substr(v, 2) AS v FROM l WHERE v LIKE '/%'), e AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '/', 'g'), '/') AS path FROM part UNION SELECT DISTINCT upper(v) FROM r WHERE length(v) = 3 AND regexp_matches(v, '^[A-Za-z]+$')), x AS (SELECT v, max(path) FILTER (WHERE path = v) AS same, count(DISTINCT path) AS n, min(path) AS one FROM r LEFT JOIN e ON lower(path) = lower(v) WHERE regexp_matches(v, '^[A-Za-z]+$') GROUP BY v) SELECT v AS value, CASE WHEN n = 0 THEN 'missing' WHEN same IS NOT NULL OR n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN same IS NOT NULL THEN same WHEN n = 1 THEN one END AS target, CASE WHEN n = 1 AND same IS NULL THEN 'case' END AS lenient FROM x")
 def resolve_links(spark, d):
     """The ranked lookup: links against entry names, exact first, then by case."""
-    links = L.attribute_links(t(spark, d, "pages"), "page_id", "html").filter("value LIKE '/%'").select(F.substring("value", 2, 10_000).alias("value")).distinct().filter("value RLIKE '^[A-Za-z]+$'")
+    links = L.attribute_links(t(spark, d, "pages"), "page_id", "html").filter("value LIKE '/%'").select(F.expr("substr(value, 2)").alias("value")).distinct().filter("value RLIKE '^[A-Za-z]+$'")
     paths = t(spark, d, "part").select(T.slug(F.col("p_name"), marks=False).alias("path")).select(F.regexp_replace("path", "-", "/").alias("path"))
     entries = paths.unionByName(links.filter("length(value) = 3").select(F.upper("value").alias("path"))).distinct().withColumn("package_id", F.lit("p"))
     refs = links.select(F.lit("p").alias("package_id"), F.col("value").alias("ref_id"), F.array("value").alias("candidates"), F.lit("").alias("suffix"), F.lit(False).alias("by_name"))
@@ -246,10 +252,10 @@ def resolve_all_links(spark, d):
     return found.unionByName(links.filter(away).select("value", "form", F.lit("external").alias("status"), none.alias("target"), none.alias("lenient")))
 
 
-@query("SELECT (page_id % 20)::VARCHAR AS package_id, count(*) + 1 AS entries, sum(strlen(html))::BIGINT + strlen('<ode/>') AS bytes, 'elpx' AS kind, 0::BIGINT AS problems FROM pages GROUP BY 1")
+@query("SELECT (page_id // 25)::VARCHAR AS package_id, count(*) + 1 AS entries, sum(strlen(html))::BIGINT + strlen('<ode/>') AS bytes, 'elpx' AS kind, 0::BIGINT AS problems FROM pages GROUP BY 1")
 def zip_roundtrip(spark, d):
     """Pages packed to archives, and the archives' entries, contents and problems read back."""
-    pages = t(spark, d, "pages").select(F.expr("string(page_id % 20)").alias("package_id"), (F.col("page_id") + 1).alias("entry_index"), F.format_string("html/%d.html", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
+    pages = t(spark, d, "pages").select(F.expr("string(page_id DIV 25)").alias("package_id"), (F.col("page_id") + 1).alias("entry_index"), F.format_string("html/%d.html", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
     start = pages.select("package_id").distinct().select("package_id", F.lit(0).cast("long").alias("entry_index"), F.lit("content.xml").alias("path"), F.lit("<ode/>").cast("binary").alias("content"))
     archives = Z.packed(pages.unionByName(start))
     entries = Z.zip_entries(archives)
@@ -333,8 +339,8 @@ def json_walk(spark, d):
 
 def package_inventory(spark, d):
     """Packages made of pages, end to end: packed, listed, their links resolved, and every entry classified by use."""
-    pages = t(spark, d, "pages").withColumn("package_id", F.expr("string(page_id % 20)"))
-    links = L.attribute_links(pages, "page_id", "html").filter("form = 'root-relative'").withColumn("package_id", F.expr("string(page_id % 20)"))
+    pages = t(spark, d, "pages").withColumn("package_id", F.expr("string(page_id DIV 25)"))
+    links = L.attribute_links(pages, "page_id", "html").filter("form = 'root-relative'").withColumn("package_id", F.expr("string(page_id DIV 25)"))
     assets = links.filter("length(value) % 2 = 0").select("package_id", F.concat(F.lit("content/resources"), "value").alias("path"), F.lit("x").alias("content")).distinct()
     files = pages.select("package_id", F.format_string("html/%d.html", "page_id").alias("path"), F.col("html").alias("content")).unionByName(assets).unionByName(pages.select("package_id").distinct().select("package_id", F.lit("content.xml").alias("path"), F.lit("<ode/>").alias("content")))
     entries = Z.zip_entries(Z.packed(files.withColumn("entry_index", F.xxhash64("path").cast("long"))))
@@ -359,3 +365,123 @@ def document_rows(spark, d):
     body = F.concat(F.lit("<ode><odeNavStructures><odeNavStructure><odePageId>p</odePageId>"), F.array_join(F.collect_list(part), ""), F.lit("</odeNavStructure></odeNavStructures></ode>"))
     made = t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("package_id")).agg(body.cast("binary").alias("content"))
     return D.content_rows(made).filter("seq >= 0").groupBy("package_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("type").alias("types"))
+
+
+# -- hosts as packages, their pages as entries
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1)"
+_ENTRIES = f"e AS (SELECT {_HOST} AS package_id, page_id, 'content/resources/' || {_PATH} AS path, url, html, length(html) AS size FROM pages)"
+
+
+def _entries(spark, d):
+    """Pages as entries of their hosts: package_id, page_id, path, url, html, size."""
+    host, path = F.expr(_HOST), F.expr(_PATH)
+    return t(spark, d, "pages").select(host.alias("package_id"), "page_id", F.concat(F.lit("content/resources/"), path).alias("path"), "url", "html", F.length("html").cast("long").alias("size"))
+
+
+_KIND = "CASE page_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' ELSE 'text' END"
+
+
+@query(f"WITH {_ENTRIES}, k AS (SELECT *, {_KIND} AS kind, path LIKE '%/' AS dir FROM e) SELECT package_id, count(*) AS entries, count(*) FILTER (WHERE NOT dir) AS files, coalesce(sum(size) FILTER (WHERE NOT dir), 0)::BIGINT AS uncompressed_bytes, coalesce(sum(size) FILTER (WHERE NOT dir), 0)::BIGINT AS user_asset_bytes, coalesce(sum(size) FILTER (WHERE NOT dir AND kind = 'image'), 0)::BIGINT AS image_bytes, coalesce(sum(size) FILTER (WHERE NOT dir AND kind = 'video'), 0)::BIGINT AS video_bytes, coalesce(sum(size) FILTER (WHERE NOT dir AND kind = 'audio'), 0)::BIGINT AS audio_bytes, coalesce(max(size) FILTER (WHERE NOT dir), 0) AS largest, coalesce(max(size) FILTER (WHERE NOT dir), 0) > 209715200 OR coalesce(sum(size) FILTER (WHERE NOT dir), 0) > 524288000 OR count(*) > 10000 AS over_hosted_limits FROM k GROUP BY 1")
+def package_totals(spark, d):
+    return Y.totals(_entries(spark, d).withColumns({"kind": F.expr(_KIND), "is_directory": F.col("path").endswith("/")}))
+
+
+@query(f"WITH {_ENTRIES}, a AS (SELECT package_id, substr(unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[:n], '/') || '/')), 1) AS path, page_id % 2 AS gone FROM e) SELECT package_id, path FROM a GROUP BY 1, 2 HAVING count(*) FILTER (WHERE gone = 0) = 0")
+def emptied_folders(spark, d):
+    """Folders of hosts that hold nothing any more once the pages of odd numbers are gone."""
+    entries = _entries(spark, d)
+    folders = entries.select("package_id", F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
+    return C.emptied_directories(folders, entries.filter("page_id % 2 = 1"), entries.filter("page_id % 2 = 0")).select("package_id", "path")
+
+
+@query(f"WITH {_ENTRIES} SELECT package_id, count(*) FILTER (WHERE page_id % 5 = 0) AS changed, count(*) FILTER (WHERE page_id % 5 = 0 AND page_id % 2 = 1) AS unexpected FROM e GROUP BY 1")
+def changed_entries(spark, d):
+    """Every fifth page has changed and every page has a new name; of the changed ones those of even numbers were meant to."""
+    e = _entries(spark, d)
+    rows = lambda name, text: e.select("package_id", F.concat(F.lit(name), F.col("page_id").cast("string")).alias("path"), F.crc32(text.cast("binary")).alias("crc32"), F.length(text).alias("size"))
+    renames = e.select("package_id", F.concat(F.lit("old/"), F.col("page_id").cast("string")).alias("old"), F.concat(F.lit("new/"), F.col("page_id").cast("string")).alias("new"))
+    planned = e.filter("page_id % 2 = 0").select("package_id", F.concat(F.lit("old/"), F.col("page_id").cast("string")).alias("path"))
+    after = rows("new/", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("+"))).otherwise(F.col("html")))
+    return C.changed_entries(rows("old/", F.col("html")), after, renames, planned)
+
+
+@query(f"WITH {_ENTRIES} SELECT package_id, count(*) FILTER (WHERE page_id % 3 = 0 AND page_id % 9 <> 0) = 0 AS same FROM e WHERE page_id % 9 <> 0 OR page_id % 3 <> 0 GROUP BY 1")
+def entry_sequence(spark, d):
+    """Each ninth page was to go; the pages that went are every third: hosts where the entries are the expected ones, in order."""
+    e = _entries(spark, d).select("package_id", F.col("page_id").cast("string").alias("path"), F.col("page_id").alias("entry_index"))
+    none = e.limit(0)
+    expected = C.expected_entries(e, none.select("package_id", F.col("path").alias("old"), F.col("path").alias("new")), e.filter("entry_index % 9 = 0"), none)
+    return C.same_sequence(expected, e.filter("entry_index % 3 <> 0").withColumn("place", F.struct(F.lit(False).alias("late"), F.col("entry_index").alias("at"))))
+
+
+@query(f"WITH {_ENTRIES} SELECT page_id FROM e WHERE page_id % 2 = 0 AND page_id % 3 = 0")
+def lost_references(spark, d):
+    """Links that resolved before and don't now."""
+    e = _entries(spark, d)
+    refs = lambda bad: e.select("package_id", "page_id", F.col("path").alias("entry"), F.col("page_id").cast("string").alias("value"), F.when(F.col("page_id") % bad == 0, "missing").otherwise("resolved").alias("status"))
+    before = refs(2).withColumn("status", F.when(F.col("status") == "missing", "resolved").otherwise("missing"))
+    return C.lost_references(before, refs(3)).select("page_id")
+
+
+@query("SELECT user_id::VARCHAR AS package_id, CASE WHEN a = 0 OR (after >= before AND NOT s) THEN 'original' ELSE 'optimized' END AS delivered FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS a, count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 7 = 0) > 0 AS s, sum(value)::BIGINT % 100 AS before, 50 AS after FROM events GROUP BY 1)")
+def net_benefit(spark, d):
+    """Whether a package is worth delivering: events as operations, purchases as those that were applied."""
+    e = t(spark, d, "events").withColumn("package_id", F.col("user_id").cast("string"))
+    results = e.select("package_id", F.when(F.col("event_type") == "purchase", "applied").otherwise("skipped").alias("status"), F.when(F.col("event_id") % 7 == 0, "move-resource").otherwise("recompress-image").alias("op"))
+    sizes = e.groupBy("package_id").agg((F.round(F.sum("value")).cast("long") % 100).alias("size_before"), F.lit(50).alias("size_after"))
+    return C.net_benefit(sizes, results).select("package_id", "delivered")
+
+
+@query("SELECT conv_id, turn, substr(to_json(text)::VARCHAR, 2, length(to_json(text)::VARCHAR) - 2) AS json, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, replace(replace(text, '&', '&amp;'), '\"', '&quot;') AS attribute, replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\a '), chr(39), '\\' || chr(39)) AS css FROM conversations WHERE text IS NOT NULL")
+def escaped_texts(spark, d):
+    """Texts as they stand inside JSON, HTML, an attribute and a style sheet's string."""
+    x = F.col("text")
+    return t(spark, d, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", V.escaped_json(x).alias("json"), V.escaped_html(x).alias("html"), V.escaped_html_attribute(x, '"').alias("attribute"), V.escaped_css(x, "'").alias("css"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS component, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KiB', size / 1024.0) END AS size, regexp_matches(replace(url, '/', '%2F'), '^[A-Za-z0-9_.!~*' || chr(39) || '()%-]*%[A-Za-z0-9_.!~*' || chr(39) || '()%-]*$') AS encoded FROM (SELECT *, strlen(html) AS size FROM pages)")
+def encoded_urls(spark, d):
+    return t(spark, d, "pages").select("page_id", V.encoded_component(F.col("url")).alias("component"), V.format_bytes(F.octet_length("html").cast("long")).alias("size"), V.looks_percent_encoded(F.replace(F.col("url"), F.lit("/"), F.lit("%2F"))).alias("encoded"))
+
+
+_FILM = "p_partkey AS k, p_size * 40 AS w, p_size * 20 AS h, p_partkey % 6 AS c, p_partkey % 5 AS e"
+
+
+@query(f"SELECT k AS p_partkey, CASE WHEN e = 4 THEN 'unsupported-container' WHEN c = 1 THEN 'attached-picture' WHEN c = 2 THEN 'alpha-channel' WHEN c = 3 THEN 'hdr' WHEN c = 4 THEN 'interlaced' WHEN c = 5 THEN 'unsupported-data-stream' WHEN h <= 1080 AND w <= 1920 AND 1000000 / (w * h * 25.0) < 0.08 THEN 'already-efficient' END AS skip FROM (SELECT {_FILM} FROM part)")
+def film_decisions(spark, d):
+    """Probe output as JSON text, and what becomes of each film."""
+    x = t(spark, d, "part").select("p_partkey", (F.col("p_size") * 40).alias("w"), (F.col("p_size") * 20).alias("h"), (F.col("p_partkey") % 6).alias("c"), (F.col("p_partkey") % 5).alias("e"))
+    head = F.concat(F.lit('{"format": {"format_name": "mov", "duration": "12.5"}, "chapters": [], "streams": [{"index": 0, "codec_type": "video", "codec_name": "h264", "width": '), F.col("w").cast("string"), F.lit(', "height": '), F.col("h").cast("string"), F.lit(', "avg_frame_rate": "25/1", "bit_rate": "1000000", "pix_fmt": "'))
+    more = F.when(F.col("c") == 2, 'yuva420p"').when(F.col("c") == 3, 'yuv420p", "color_transfer": "smpte2084"').when(F.col("c") == 4, 'yuv420p", "field_order": "tt"').otherwise('yuv420p"')
+    rest = F.when(F.col("c") == 1, '}, {"index": 1, "codec_type": "video", "codec_name": "png", "disposition": {"attached_pic": 1}}]}').when(F.col("c") == 5, '}, {"index": 1, "codec_type": "data", "codec_name": "bin_data"}]}').otherwise('}, {"index": 1, "codec_type": "audio", "codec_name": "aac", "channels": 2}]}')
+    films = x.select("p_partkey", F.when(F.col("e") == 4, "avi").otherwise("mp4").alias("fmt"), W.probe(F.concat(head, more, rest)).alias("probe"))
+    return films.select("p_partkey", W.video_skip(F.col("fmt"), F.lit(1000), F.col("probe")).alias("skip"))
+
+
+@query()
+def reference_report(spark, d):
+    """Every link of every page, resolved inside its host, as diagnostics by code: package_id, code, severity, n. SQL can't express the rules; they are held against a plain version."""
+    e = _entries(spark, d)
+    path = F.expr(_PATH)
+    links = L.attribute_links(t(spark, d, "pages"), "page_id", "html").join(e.select("page_id", "package_id", path.alias("source")), "page_id")
+    refs = links.select("package_id", F.concat_ws("/", F.col("page_id").cast("string"), F.col("ordinal").cast("string")).alias("ref_id"), "value", F.lit(False).alias("editable"), "source", F.lit("explicit").alias("kind"), F.lit("published").alias("representation"))
+    found = L.resolve_references(refs, e.select("package_id", path.alias("path")).distinct())
+    return N.reference_diagnostics(found).groupBy("package_id", "code", "severity").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_formats(spark, d):
+    """The format and kind of each page's bytes, and whether its name fits them."""
+    e = _entries(spark, d).select("page_id", "path", F.col("html").cast("binary").alias("content"))
+    fmt = e.withColumn("format", G.content_format(F.col("content"), F.col("path")))
+    return fmt.select("page_id", "format", G.kind_of(F.col("format")).alias("kind"), G.extension_matches(F.col("path"), F.col("format")).alias("fits"))
+
+
+@query()
+def clean_free_names(spark, d):
+    """A clean name for every page title, free in its host: accents folded, repeats numbered."""
+    e = _entries(spark, d).select("package_id", F.col("page_id").alias("ordinal"), I.clean_name(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("name"))
+    taken = e.filter("ordinal % 10 = 0").select("package_id", "name").distinct()
+    return I.free_names(e, taken)

@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Attributes that hold one URL, and the names of <param> elements whose value is one.
-URL_ATTRIBUTES = ("href", "src", "poster", "data", "action", "background", "cite", "longdesc", "xlink:href", "data-src", "data-href", "formaction")
-URL_PARAMS = ("movie", "src", "url", "file", "flv", "mp3", "data", "filename")
+from ..operators.links import URL_ATTRIBUTES, URL_PARAMS
 
 COMPONENT = "package_id string, kind string, seq long, id string, parent_id string, page_id string, name string, type string, html_view string, json_properties string, problem string"
 _COMPONENT = [f.strip().split(" ")[0] for f in COMPONENT.split(",")]

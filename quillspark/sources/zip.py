@@ -55,25 +55,49 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
     return values
 
 
+def _end(raw: bytes) -> tuple[int, str | None]:
+    """Where the end record stands: the last mark whose comment reaches exactly to the file's end."""
+    least, seen, end = max(0, len(raw) - 22 - 65535), False, len(raw) - 18
+    while (end := raw.rfind(b"PK\5\6", least, end)) >= 0:
+        if end + 22 <= len(raw):
+            seen = True
+            if end + 22 + struct.unpack_from("<H", raw, end + 20)[0] == len(raw):
+                return end, None
+        end += 3
+    return -1, "trailing-data" if seen else "truncated"
+
+
+def _descriptor(raw: bytes, at: int, crc: int, packed: int, size: int) -> int:
+    """The length of the data descriptor at a place, with or without its mark, with sizes of 32 or 64 bits; 0 if none tells these values."""
+    for mark in (b"PK\7\x08", b""):
+        for shape in ("<III", "<IQQ"):
+            length = len(mark) + struct.calcsize(shape)
+            if raw[at : at + len(mark)] == mark and at + length <= len(raw) and struct.unpack_from(shape, raw, at + len(mark)) == (crc, packed, size):
+                return length
+    return 0
+
+
 def _directory(raw: bytes) -> Iterator[dict]:
     """Rows of the central directory; a row with a problem and nothing else if the archive can't be read."""
     if not raw.startswith((b"PK\3\4", b"PK\5\6")):
         yield {"problem": "not-a-zip"}
         return
-    end = raw.rfind(b"PK\5\6", max(0, len(raw) - 22 - 65535))
-    if end < 0 or end + 22 > len(raw):
-        yield {"problem": "truncated"}
-        return
-    disk, start_disk, _, n, _, at, comment = struct.unpack_from("<4H2IH", raw, end + 4)
-    if end + 22 + comment != len(raw):
-        yield {"problem": "trailing-data"}
-        return
-    if disk or start_disk:
-        yield {"problem": "multi-volume"}
+    end, problem = _end(raw)
+    if problem:
+        yield {"problem": problem}
         return
+    disk, start_disk, here, n, size, at, _ = struct.unpack_from("<4H2IH", raw, end + 4)
     if raw[end - 20 : end - 16] == b"PK\6\7":
         (record,) = struct.unpack_from("<Q", raw, end - 12)
-        n, _, at = struct.unpack_from("<3Q", raw, record + 32)
+        wide_here, wide_n, wide_size, wide_at = struct.unpack_from("<4Q", raw, record + 24)
+        # What the classic record can hold must be the same in both.
+        if raw[record : record + 4] != b"PK\6\6" or any(c not in (w, most) for c, w, most in ((here, wide_here, 0xFFFF), (n, wide_n, 0xFFFF), (size, wide_size, 0xFFFFFFFF), (at, wide_at, 0xFFFFFFFF))):
+            yield {"problem": "zip64-differs"}
+            return
+        here, n, size, at = wide_here, wide_n, wide_size, wide_at
+    if disk or start_disk or here != n:
+        yield {"problem": "multi-volume"}
+        return
     directory = at
     for i in range(n):
         if raw[at : at + 4] != b"PK\1\2" or at + 46 > len(raw):
@@ -90,8 +114,8 @@ def _directory(raw: bytes) -> Iterator[dict]:
         l_flags, l_method, _, _, l_crc, l_packed, l_size, l_name, l_extra = struct.unpack_from("<HHHHIIIHH", raw, offset + 6)
         data = offset + 30 + l_name + l_extra
         stop = data + packed
-        if flags & 8:
-            stop += 12 + 4 * (raw[stop : stop + 4] == b"PK\7\x08")
+        told = flags & 8 and _descriptor(raw, stop, crc, packed, size)
+        stop += told or 0
         problem = None
         if flags & 1:
             problem = "encrypted"
@@ -101,8 +125,12 @@ def _directory(raw: bytes) -> Iterator[dict]:
             problem = "symlink"
         elif l_flags != flags or l_method != method or raw[offset + 30 : offset + 30 + l_name] != raw[at - n_comment - n_extra - n_name : at - n_comment - n_extra]:
             problem = "local-header-differs"
-        elif not flags & 8 and l_crc != crc or stop > directory:
-            problem = "local-header-differs" if stop <= directory else "out-of-bounds"
+        elif stop > directory:
+            problem = "out-of-bounds"
+        elif flags & 8 and not told:
+            problem = "descriptor-differs"
+        elif not flags & 8 and (l_crc != crc or l_packed not in (packed, 0xFFFFFFFF) or l_size not in (size, 0xFFFFFFFF)):
+            problem = "local-header-differs"
         yield row | {"end": stop, "problem": problem}
 
 

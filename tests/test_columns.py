@@ -14,15 +14,20 @@ def value(spark, column, **inputs):
 @pytest.mark.parametrize(
     ("raw", "form"),
     [
-        ("", "empty"), ("  ", "empty"), ("#top", "fragment"), ("{{context_path}}/a.png", "context-path"), ("{{context_path}}/content/resources/a.png", "resources-legacy"),
+        ("", "empty"), ("  ", "empty"), ("#top", "fragment"), ("{{context_path}}/a.png", "context-path"), ("{{context_path}}/content/resources/a.png", "context-path"),
         ("asset://x/y", "asset-uri"), ("data:image/png;base64,AA", "data-uri"), ("file:///c", "local-file"), ("mailto:a@b", "pseudo"), ("https://a.b/c", "absolute-url"),
-        ("C:\\\\x", "local-file"), ("//cdn/x", "protocol-relative"), ("/x", "root-relative"), ("resources/a", "resources-legacy"), ("files/tmp/a", "stale-editor-path"), ("a/b.png", "relative"), ("\u00a0/x\ufeff", "root-relative"),
+        ("C:\\\\x", "local-file"), ("//cdn/x", "protocol-relative"), ("/x", "root-relative"), ("resources/a", "relative"), ("sms:1", "pseudo"), ("exe-node:1", "pseudo"), ("C:x", "absolute-url"), ('\\"https://a\\"', "absolute-url"), ('"{{context_path}}/a"', "context-path"), ('"a.png"', "relative"), ("a/b.png", "relative"), ("\u00a0/x\ufeff", "root-relative"),
     ],
 )
 def test_link_form(spark, raw, form):
     assert value(spark, P.link_form(F.col("v")), v=raw) == form
 
 
+def test_editable_link_form(spark):
+    form = lambda v: value(spark, P.link_form(F.col("v"), F.lit(True)), v=v)
+    assert [form(v) for v in ("resources/a", "files/tmp/x/a.png", "files/tmp/a", "a")] == ["resources-legacy", "stale-editor-path", "relative", "relative"]
+
+
 @pytest.mark.parametrize(
     ("folder", "path", "out"),
     [("", "a/b", "a/b"), ("x/y", "../a", "x/a"), ("x", "../../a", None), ("x", "./a//b", "x/a/b"), ("", "..", None), ("a/b", "../..", ""), ("x", "..", "")],

@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import images as I
 from quillspark.functions.images import header, image_facts, sniffed
 
 
@@ -46,3 +47,31 @@ def test_column(spark):
     df = spark.createDataFrame([(0, bytearray(png())), (1, None), (2, bytearray(GIF)), (3, bytearray(b"%PDF-1.7"))], "id int, b binary")
     got = df.select("id", image_facts("b").alias("i"), sniffed(F.col("b")).alias("s")).orderBy("id").collect()
     assert [(r["i"]["width"], r["i"]["error"], r["s"]) for r in got] == [(640, None, "png"), (None, "empty", None), (10, None, "gif"), (None, "not-an-image", "pdf")]
+
+
+def test_sniffed_formats(spark):
+    """Each container tells its own kinds apart; texts go by opening and extension."""
+    box = lambda brand, more=b"": b"\x00\x00\x00\x18ftyp" + brand + b"\x00\x00\x00\x00" + more
+    cases = [
+        (box(b"mif1", b"avif"), "a.avif", "avif"), (box(b"heic"), "a.heic", "heic"), (box(b"qt  "), "a.mov", "mov"), (box(b"M4A "), "a.m4a", "m4a"), (box(b"3gp4"), "a.3gp", "3gp"), (box(b"M4V "), "a.m4v", "m4v"), (box(b"isom"), "a.mp4", "mp4"),
+        (b"\x00\x00\x00\x08moov", "a.mov", "mov"), (b"\x1a\x45\xdf\xa3....webm", "a.webm", "webm"), (b"\x1a\x45\xdf\xa3....matroska", "a.mkv", "mkv"), (b"OggS" + b"\x00" * 24 + b"\x80theora", "a.ogv", "ogv"), (b"OggS" + b"\x00" * 24 + b"OpusHead", "a.opus", "opus"),
+        (b"OggS" + b"\x00" * 24 + b"vorbis", "a.ogg", "ogg"), (b"FLV\x01", "a.flv", "flv"), (b"G" + b"\x00" * 187 + b"G", "a.ts", "mpegts"), (b"\xff\xfb\x90", "a.mp3", "mp3"), (b"OTTO", "a.otf", "otf"), (b"\x00\x01\x00\x00", "a.ttf", "ttf"),
+        (b"PK\x03\x04", "a.odt", "odt"), (b"PK\x03\x04", "a.zip", "zip"), (b"ab\x01", "a.txt", "binary"), (b" <svg>", "a", "svg"), (b"<?xml?><svg>", "b.xml", "svg"), (b"WEBVTT\n", "x.txt", "vtt"), (b"body {}", "a.css", "css"), (b"<!DOCTYPE html>", "x", "html"), (b"", "x", "txt"),
+    ]
+    df = spark.createDataFrame([(i, bytearray(b), p) for i, (b, p, _) in enumerate(cases)], "i int, b binary, p string")
+    fmt = I.content_format(F.col("b"), F.col("p"))
+    got = df.select("i", fmt.alias("f"), I.kind_of(fmt).alias("k"), I.extension_matches(F.col("p"), fmt).alias("m")).orderBy("i").collect()
+    assert [r["f"] for r in got] == [c[2] for c in cases]
+    assert {r["m"] for r in got[:18]} == {True} and got[20]["m"] is None and got[24]["m"] is None and all(r["k"] for r in got)
+    assert df.filter("i = 6").select(I.extension_matches(F.lit("x.png"), F.lit("mp4")).alias("m")).first()["m"] is False
+
+
+def test_screenshot_rules(spark):
+    png = lambda w, h: bytes.fromhex("89504E470D0A1A0A0000000D49484452") + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    cases = [(png(1280, 720), None), (png(600, 338), None), (png(599, 337), "not-16-9"), (png(1281, 720), "too-large"), (png(1000, 720), "not-16-9"), (png(1000, 0), "not-16-9"), (b"GIF89a", "not-png")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, (b, _) in enumerate(cases)], "i int, b binary")
+    assert [r["x"] for r in df.select("i", I.screenshot_problem(F.col("b")).alias("x")).orderBy("i").collect()] == [c[1] for c in cases]
+
+
+def test_quality_rounds_halves_up():
+    assert I._quality(bytes([43] * 63 + [57])) == 63 and I._quality(bytes([1] * 64)) == 99 and I._quality(bytes([255] * 64)) == 11

@@ -8,14 +8,14 @@ def rows(df, *columns):
 
 
 def test_usage_classes(spark):
-    paths = ["content.xml", "content/resources/a.png", "content/resources/b.png", "content/resources/c.png", "content/resources/app/index.html", "content/resources/app/x.png", "custom/y.css", "content/resources/favicon.ico", "content/resources/d.png", "content/resources/e.png"]
+    paths = ["content.xml", "content/resources/a.png", "content/resources/b.png", "content/resources/c.png", "content/resources/app/index.html", "content/resources/app/x.png", "custom/y.css", "content/resources/favicon.ico", "content/resources/d.png", "content/resources/e.png", "content/resources/old/FavIcon.jpeg", "content/resources/apple-touch-icon.png"]
     entries = spark.createDataFrame([("p", i, x) for i, x in enumerate(paths)], "package_id string, entry_index long, path string")
     refs = [("p", 0, "content.xml", "content/resources/a.png", "resolved", False, None), ("p", 1, "x.js", "content/resources/b.png", "resolved", True, None), ("p", 2, "content.xml", None, "missing", False, ["lost/c.png"]), ("p", 3, "content.xml", None, "ambiguous", False, ["content/resources/d.png", "content/resources/b.png"])]
     got = I.classify_usage(entries, spark.createDataFrame(refs, "package_id string, ordinal long, source string, target string, status string, dynamic boolean, candidates array<string>"))
     usage = {r["path"].rsplit("/", 1)[-1]: (r["usage"], r["reasons"]) for r in got.collect()}
     assert usage["content.xml"][0] == "not-applicable" and usage["a.png"][0] == "used" and usage["e.png"] == ("unreferenced", None)
     assert usage["b.png"] == ("uncertain", ["dynamic-reference", "ambiguous-reference", "same-name-as-missing"]) and usage["c.png"] == ("uncertain", ["same-name-as-missing"])
-    assert {usage[k][0] for k in ("index.html", "x.png", "y.css", "favicon.ico")} == {"protected"}
+    assert {usage[k][0] for k in ("index.html", "x.png", "y.css", "favicon.ico", "FavIcon.jpeg")} == {"protected"} and usage["apple-touch-icon.png"][0] == "unreferenced"
 
 
 def test_keep_and_names(spark):
@@ -23,6 +23,8 @@ def test_keep_and_names(spark):
     assert rows(I.keep_of_group(df, ["g"]).filter("place = 1"), "g", "keep") == [(1, "a"), (2, "z")]
     names = spark.createDataFrame([("Año Nuevo (2).PNG",), ("a - copy (1).mp3",), ("???",), ("x.tar.gz",)], "p string")
     assert [r[0] for r in names.select(I.clean_name(F.col("p"))).collect()] == ["ano-nuevo.png", "a.mp3", "archivo", "x-tar.gz"]
+    names = spark.createDataFrame([("Copia de Foto Clase (2).JPG",), ("informe.pdf.pdf",), ("foto.JPG..pdf",), ("tema.1.pdf",), ("Copy of Copia de x (2) [3] - copia 4.png",), ("(2).png",), ("x..png",), ("Kopie",)], "p string")
+    assert [r[0] for r in names.select(I.clean_name(F.col("p"))).collect()] == ["foto-clase.jpg", "informe.pdf", "foto.pdf", "tema-1.pdf", "x.png", "2.png", "x.png", "kopie"]
 
 
 def test_free_names(spark):
@@ -30,6 +32,10 @@ def test_free_names(spark):
     taken = spark.createDataFrame([("p", "B.png")], "package_id string, name string")
     got = {(r[0], r[1]): r[2] for r in I.free_names(wanted, taken).select("package_id", "ordinal", "final").collect()}
     assert got == {("p", 0): "a.png", ("p", 1): "A-3.png", ("p", 2): "a-2.png", ("p", 3): "b-2.png", ("q", 0): "a.png"}
+    many = spark.createDataFrame([("p", i, "x.png") for i in range(300)], "package_id string, ordinal long, name string")
+    held = spark.createDataFrame([("p", f"X-{n}.png") for n in (2, 3, 7, 400)], "package_id string, name string")
+    names = [r[0] for r in I.free_names(many, held).orderBy("ordinal").select("final").collect()]
+    assert names[:5] == ["x.png", "x-4.png", "x-5.png", "x-6.png", "x-8.png"] and len(set(names)) == 300 and names[-1] == "x-303.png"
 
 
 def test_plan_is_the_same_in_any_order(spark):

@@ -33,7 +33,7 @@ def resolved(spark):
     [
         ("exact", ("resolved", "a/one.png", None)), ("encoded", ("resolved", "x/three four.png", None)), ("case", ("resolved", "a/one.png", "case")), ("slashes", ("resolved", "a/one.png", "double-slash")),
         ("back", ("resolved", "a/one.png", "backslash")), ("composed", ("resolved", "c/ñu.png", "unicode")), ("literal", ("resolved", "a/q?x=1", "literal-special")), ("several", ("resolved", "m/same.png", "multiple-prefixes")),
-        ("name", ("resolved", "deep/only.mp3", "basename")), ("no-name", ("missing", None, None)), ("ambiguous", ("ambiguous", None, "basename")), ("missing", ("missing", None, None)), ("elsewhere", ("missing", None, None)),
+        ("name", ("resolved", "deep/only.mp3", "basename")), ("no-name", ("missing", None, None)), ("ambiguous", ("ambiguous", None, None)), ("missing", ("missing", None, None)), ("elsewhere", ("missing", None, None)),
         ("first", ("resolved", "b/two.png", None)),
     ],
 )
@@ -168,8 +168,117 @@ def test_resolve_all_links_by_brute_force(spark, tmp_path):
         tries += [("unicode", [e for e in entries if nfc(e) in (nfc(raw), nfc(dec))]), ("case", [e for e in entries if e.lower() in (nfc(raw).lower(), nfc(dec).lower())])]
         tries.append(("basename", [e for e in entries if e.split("/")[-1] == nfc(dec).split("/")[-1]]))
         rule, hit = next(((r, h) for r, h in tries if h), (None, []))
-        return ("resolved", hit[0], rule) if len(hit) == 1 else ("ambiguous" if hit else "missing", None, rule if hit else None)
+        return ("resolved", hit[0], rule) if len(hit) == 1 else ("ambiguous" if hit else "missing", None, None)
 
     got = {r["value"]: (r["status"], r["target"], r["lenient"]) for r in queries.QUERIES["resolve_all_links"](spark, str(tmp_path)).collect()}
     assert got == {v: brute(v) for v in links if v and v[0] != "#" and not v.startswith("mailto")}
     assert {x[2] for x in got.values()} >= {"case", "double-slash", "backslash", "basename", None}
+
+
+def _resolved(value, editable, source, files):
+    """A plain version of the rules, for a small list of files."""
+    import re
+    import unicodedata
+    import urllib.parse
+
+    def decoded(c):
+        if "%" not in c or re.search("%(?![0-9A-Fa-f]{2})", c):
+            return c
+        try:
+            return urllib.parse.unquote_to_bytes(c).decode()
+        except UnicodeDecodeError:
+            return c
+
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    base = lambda x: x.rsplit("/", 1)[-1]
+    user = [f for f in files if f.startswith(("content/resources/", "custom/")) and not f.startswith(("content/css/", "content/img/"))]
+
+    def lookup(candidates, suffix, by_name):
+        dec = [decoded(c) for c in candidates]
+        coded = dec != list(candidates)
+        hits = list(dict.fromkeys(c for c in dec if c in files))
+        if hits:
+            return "resolved", hits[0], "multiple-prefixes" if len(hits) > 1 else None, coded
+        tries = [
+            ("literal-special", lambda c: [c + suffix] if suffix and c + suffix in files else []), ("double-slash", lambda c: [d] if (d := re.sub("/{2,}", "/", c)) != c and d in files else []),
+            ("backslash", lambda c: [d] if (d := c.replace("\\", "/")) != c and d in files else []), ("unicode", lambda c: [f for f in files if nfc(f) == nfc(c) and f != c]), ("case", lambda c: [f for f in files if nfc(f).lower() == nfc(c).lower() and f != c]),
+        ]
+        for rule, find in tries:
+            for c in [*candidates, *dec]:
+                if found := find(c):
+                    return ("resolved", found[0], rule, coded) if len(found) == 1 else ("ambiguous", None, None, False)
+        if by_name and base(dec[0]):
+            found = [f for f in user if nfc(base(f)) == nfc(base(dec[0]))]
+            if found:
+                return ("resolved", found[0], "basename", False) if len(found) == 1 else ("ambiguous", None, None, False)
+        return "missing", None, None, coded
+
+    def seen(path):
+        out = []
+        for part in path.split("/"):
+            if part == "..":
+                if not out:
+                    return None
+                out.pop()
+            elif part != ".":
+                out.append(part)
+        return "/".join(out)
+
+    v = (value or "").strip("\ufeff \t\n\r\u00a0")
+    context = "{{context_path}}"
+    if not v or v.startswith("#"):
+        return "ignored", None, None, False
+    if v.startswith(context):
+        rest = re.sub("^/+", "", v[len(context) :])
+        if not rest:
+            return "ignored", None, None, False
+        path, suffix = re.match("([^?#]*)(.*)", rest).groups()
+        return lookup([path] if path.startswith("content/resources/") else [path, f"content/{path}", f"content/resources/{path}", f"resources/{path}"], suffix, True)
+    bare = re.sub(r"""(?:\\?["'])+$""", "", re.sub(r"""^(?:\\?["'])+""", "", v))
+    if bare != v and re.match("[a-zA-Z][a-zA-Z0-9+.-]*:|//", bare):
+        return "external", None, None, False
+    if bare != v and bare.startswith(context):
+        inner = _resolved(re.sub(r"\\+$", "", bare), editable, source, files)
+        return (*inner[:2], "escaped-quotes", inner[3]) if inner[0] == "resolved" else inner
+    drive = re.match(r"[a-zA-Z]:[\\/]", v)
+    if (scheme := re.match("([a-zA-Z][a-zA-Z0-9+.-]*):", v)) and not drive:
+        s = scheme[1].lower()
+        return {"asset": "unmapped", "data": "ignored", "file": "unresolvable", "mailto": "ignored", "sms": "ignored"}.get(s, "external"), None, None, False
+    if drive or v.startswith("\\\\"):
+        return "unresolvable", None, None, False
+    if v.startswith("/"):
+        return "external" if v.startswith("//") else "unresolvable", None, None, False
+    path, suffix = re.match("([^?#]*)(.*)", v).groups()
+    if editable and path.startswith("resources/"):
+        return lookup([f"content/{path}", path], suffix, True)
+    if editable and (m := re.match("files/tmp/(?:[^/]+/)*?([^/]+/[^/]+)$", path)):
+        got = lookup([f"content/resources/{m[1]}"], suffix, False)
+        return (*got[:2], "stale-editor-path", got[3]) if got[0] == "resolved" else got
+    at = seen(("" if editable or "/" not in source else source.rsplit("/", 1)[0] + "/") + path)
+    if at is None:
+        return "unresolvable", None, None, False
+    if not editable and (at == "" or at.endswith("/")):
+        return ("resolved", at + "index.html", None, False) if at + "index.html" in files else ("ignored", None, None, False)
+    return lookup([at], suffix, False)
+
+
+def test_resolve_references_equals_the_plain_rules(spark):
+    files = ["index.html", "html/a.html", "html/sub/index.html", "content/resources/one.png", "content/resources/x/one.png", "content/resources/ñ.png", "content/resources/two words.mp3", "custom/Logo.PNG", "custom/only.gif", "content/one.png", "resources/old.png", "content/resources/old.png", "html/q?v=1", "A.txt", "a.TXT", "content/resources/50%.png"]
+    values = [
+        None, "", " ", "#top", "{{context_path}}", "{{context_path}}/", "{{context_path}}/content/resources/one.png?v=1", "{{context_path}}/one.png", "{{context_path}}/x/one.png", "{{context_path}}/nope/only.gif", "{{context_path}}//logo.png", "{{context_path}}/zz/one.png", "{{context_path}}/none.png#f",
+        '"{{context_path}}/content/resources/one.png"', '\\"{{context_path}}/content/resources/one.png\\\\"', "'https://a.org'", "https://a.org/x", "mailto:a@b", "sms:1", "asset://x/one.png", "data:,x", "file:///c", "C:\\x.png", "c:x", "\\\\srv\\x", "//cdn/x.js", "/abs.png",
+        "resources/old.png", "resources/x/one.png", "resources/zz/only.gif", "files/tmp/a/b/x/one.png", "files/tmp/x/one.png", "files/tmp/one.png", "../content/resources/one.png", "../../up.png", "a.html", "./sub/", "sub/", "sub", "", "..", "../", "../index.html?x", "content/resources/n\u0303.png", "../content/resources/n%CC%83.png",
+        "content/resources/two%20words.mp3", "content/resources/%C3%B1.png", "content/resources/50%.png", "content/resources/%ZZ.png", "content//resources/one.png", "content\\resources\\one.png", "CUSTOM/logo.png", "q?v=1", "html/q?v=1", "a.txt", "../a.txt", "A.TXT", "x.png",
+    ]
+    refs = [("p", i, v, e, s) for i, (v, e, s) in enumerate((v, e, s) for v in values for e, s in ((True, "content.xml"), (False, "html/x.html"), (False, "index.html")))]
+    df = spark.createDataFrame(refs, "package_id string, ref_id long, value string, editable boolean, source string").repartition(3)
+    entries = spark.createDataFrame([("p", f) for f in files] + [("q", "nope.png")], "package_id string, path string")
+    got = {r["ref_id"]: (r["status"], r["target"], r["lenient"], r["percent_encoded"]) for r in L.resolve_references(df, entries).collect()}
+    want = {i: _resolved(v, e, s, files) for _, i, v, e, s in refs}
+    assert {i: (refs[i][2:], got.get(i), w) for i, w in want.items() if got.get(i) != w} == {}
+
+
+def test_more_candidates_than_any_bound(spark):
+    refs = spark.createDataFrame([("p", 1, [f"no{i}.png" for i in range(2500)] + ["yes.png"], "", False)], "package_id string, ref_id long, candidates array<string>, suffix string, by_name boolean")
+    entries = spark.createDataFrame([("p", "yes.png")], "package_id string, path string")
+    assert L.resolve(refs, L.entry_keys(entries)).first()["target"] == "yes.png"
