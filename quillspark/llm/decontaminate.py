@@ -82,7 +82,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, ratio: int
         low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
         around = F.when(F.col("prefix").isNotNull(), F.slice("w", low + 1, 2 * size - 1))
         rows = rows.select("doc_id", "text_key", "pos", "prefix", low.alias("low"), around.alias("around"))
-        joined = rows.join(windows, "prefix", "left")
+        # The ends, which have no word, stay out of the join: they would meet under one key.
+        ends = rows.filter("prefix IS NULL").select("*", *[F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in windows.columns if c != "prefix"])
+        joined = rows.filter("prefix IS NOT NULL").join(windows, "prefix").unionByName(ends)
         here = F.array_join(F.slice("around", start - F.col("low") + 1, F.col("len")), " ")
         fits = (start >= F.col("low")) & (here == F.col("win"))
     end = F.col("prefix").isNull()

@@ -9,8 +9,9 @@ anchor is depends on the window's words alone, so equal windows have equal ancho
    of such blocks, and only of the first of equal ones, the single windows are compared with each other.
 3. The spans of both steps are cut from the texts.
 
-Equal blocks and windows of one batch of rows are reduced to the first before any shuffle, and those reduced carry no common key, so a
-passage that stands in a third of all documents puts one row for each batch into its group.
+Equal blocks and windows of one batch of rows are reduced to the first before any shuffle, and those reduced carry no common key. Of those
+that a batch repeats, the first is remembered for the task's later batches, so a passage that stands in a third of all documents puts about
+one row for each partition into its group.
 """
 
 from __future__ import annotations
@@ -105,6 +106,31 @@ def _reduced(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarr
     return order, opens, (doc != doc[first]) | (place != place[first])
 
 
+class _Repeated(dict):
+    """Of blocks or windows that a batch repeats: where the first of the task's stands, for as many as the bound allows."""
+
+    def __init__(self, least: int = 4, most: int = 100_000):
+        super().__init__()
+        self.least, self.most, self.keys = least, most, np.zeros(0, _U)
+
+    def later(self, key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Which of the rows, in the order of _reduced, open a group that an earlier batch has at a smaller place."""
+        out, first = np.zeros(len(key), bool), np.flatnonzero(opens)
+        several = np.diff(np.append(first, len(key))) >= self.least
+        some, before = several | np.isin(key[first], self.keys), len(self)
+        for i, known in zip(first[some].tolist(), several[some].tolist(), strict=True):
+            name = (int(key[i]), int(more[i]))
+            at, held = (int(doc[i]), int(place[i])), self.get(name)
+            if held is not None:
+                out[i] = held < at
+                self[name] = min(held, at)
+            elif known and len(self) < self.most:
+                self[name] = at
+        if len(self) > before:
+            self.keys = np.fromiter((k for k, _ in self), _U, len(self))
+        return out
+
+
 def _ambiguous(docs: DataFrame) -> DataFrame:
     """Ids that stand with different texts."""
     h = F.xxhash64("text")
@@ -123,7 +149,7 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
 
     def factor(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, repeated = WordHashes(), _Repeated()
         for batch in _some(batches):
             ids, t = batch.column(0).cast(pa.int64()).to_numpy(), _Texts(batch.column(1).to_pylist(), known)
             text, s, n, anchor = _blocks(t, window, gram)
@@ -133,6 +159,7 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
             doc, place = ids[text], (s - t.starts[text]) << 10 | n << 2
             order, opens, later = _reduced(anchor, words, doc, place)
             anchor, words, doc, place = anchor[order], words[order], doc[order], place[order]
+            later |= repeated.later(anchor, words, doc, place, opens)
             group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])) - 1
             several = (np.bincount(group[opens]) > 1)[group]  # the anchor stands in blocks of different words here
             kind = np.where(later, MARK, np.where(several, ASK, OPEN))
@@ -157,7 +184,7 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
     texts = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, repeated = WordHashes(), _Repeated()
         for batch in _some(batches):
             ids, t = batch.column(0).cast(pa.int64()).to_numpy(), _Texts(batch.column(1).to_pylist(), known)
             lists = batch.column(2)
@@ -168,6 +195,7 @@ def duplicate_places(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFr
             one, two, doc = t.runs(at, window, _B1), t.runs(at, window, _B2), ids[text]
             order, opens, later = _reduced(one, two, doc, s)
             one, two, doc, s = one[order], two[order], doc[order], s[order]
+            later |= repeated.later(one, two, doc, s, opens)
             keep = opens | later
             yield _longs(*(c[keep] for c in (np.where(later, _spread(doc, s), one), two, doc, s << 10 | 1 << 2 | np.where(later, MARK, OPEN))))
 

@@ -281,6 +281,128 @@ def test_substring_dedup_random(spark):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()} == want
 
 
+def test_substring_dedup_over_many_batches(spark):
+    """One task reads several batches, ids in no order, and a passage stands many times in each: the least place keeps it."""
+    import random
+
+    r, passage = random.Random(8), words(99, 60, 9)
+    ids = list(range(36))
+    r.shuffle(ids)
+    data = [(i, " ".join(x for k in range(5) for x in [*words(1000 + 7 * i + k, 4500, 10**9), *(passage if k or i % 2 else words(i, 20, 10**9))])) for i in ids]
+    want = brute.without_repeats(data, 20)
+    got = substring.without_duplicates(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), 20, 8)
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()} == want
+
+
+def test_repeated_remembers_the_least():
+    seen, u = substring._Repeated(least=2, most=1), lambda *x: np.array(x, np.uint64)
+    opens = lambda *x: np.array(x, bool)
+    at = lambda *x: np.array(x, np.int64)
+    assert not seen.later(u(1, 1, 2, 2), u(5, 5, 6, 6), at(7, 8, 1, 2), at(0, 0, 0, 0), opens(1, 0, 1, 0)).any() and dict(seen) == {(1, 5): (7, 0)}
+    assert seen.later(u(1, 2), u(5, 6), at(9, 9), at(0, 0), opens(1, 1)).tolist() == [True, False]
+    assert seen.later(u(1, 1), u(5, 9), at(3, 9), at(4, 0), opens(1, 1)).tolist() == [False, False] and seen[1, 5] == (3, 4)
+
+
+def test_queries_equal_brute_force_links(spark):
+    """op1 on a given table: every link of all pairs of whole sets is found, so the recall is 1."""
+    import os
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the given tables are absent")
+    sets = {r["doc_id"]: brute.shingle_set(r["text"], 2) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.op1_minhash_dedup(spark, d).collect()}
+    assert got == {i: (len(sets[i]), c) for i, c in brute.components(sets).items()}
+
+
+def test_toxicity_equals_compression_by_hand(spark, odd, odd_rows):
+    """Each score is that of two plain compressions of each window."""
+    import re
+
+    import zstandard as z
+
+    data = _labelled(spark)
+    model = toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+
+    def plain(content, window):
+        shape = z.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=40, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(z.ZstdCompressor(compression_params=shape, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)).compress(window))
+
+    pad = bytes(range(1, 17))
+    texts = {r["doc_id"]: r["text"] for r in data.filter("doc_id < 24").collect()} | {1001: None, 1002: "", 1003: "the SCUMBAG and scumbags"}
+    want = {}
+    for i, t in texts.items():
+        w = [x.encode() for x in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())]
+        saved = [plain(pad + model.ordinary, b" " + x + b" " + pad) - plain(pad + model.ordinary + model.toxic, b" " + x + b" " + pad) for x in w] or [0]
+        counts = [sum(s >= k for s in saved) for k in range(1, toxicity.STEPS + 1)]
+        x = [math.log1p(c) for c in counts] + [math.log((c + 0.1) / (len(saved) + 1)) for c in counts]
+        logit = model.weights[0] + sum((v - c) / s * b for v, c, s, b in zip(x, model.centre, model.scale, model.weights[1:], strict=True))
+        want[i] = 1 / (1 + math.exp(-max(-30, min(30, logit))))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_language_model_score_by_hand(spark):
+    """Each score is the sum, over the tokens, of the class's softmax in its context and of the token's share of its class."""
+    import zlib as zl
+
+    import xxhash
+
+    train = spark.createDataFrame([(i, " ".join(words(i % 7, 50, 60))) for i in range(60)], "doc_id long, text string")
+    m, counts = maxent.train(train)
+    n_of = {r["key"]: r["n"] for r in counts.collect()}
+    texts = {1: " ".join(words(3, 12, 60)), 2: "new WORDS w1", 3: None, 4: "w1"}
+    mask = (1 << 64) - 1
+
+    def token(w):
+        return xxhash.xxh3_64_intdigest(w) & ~511 | zl.crc32(w[-3:]) % 511 + 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    want = {}
+    for i, t in texts.items():
+        ts, total = [token(w) for w in (t or "").lower().encode().split()] + [maxent.END], 0.0
+        for k, now in enumerate(ts):
+            one, two, three = (ts[k - n] if k >= n else maxent.BEFORE for n in (1, 2, 3))
+            rows = [one & 511, two & 511, three & 511, (one >> 9) & (maxent.HASHED - 1), mix((two * 0x9E3779B97F4A7C15 + one) & mask) & (maxent.HASHED - 1), 0]
+            z = sum(w[r].astype(float) for w, r in zip(m.weights, rows, strict=True))
+            c = m.cls[now & 511]
+            signed = now - (1 << 64) if now >> 63 else now
+            total += (z[c] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10) + math.log10(n_of.get(signed, 0) + 0.1) - m.mass[c]
+        want[i] = total
+    got = {r["doc_id"]: r["score"] for r in maxent.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), m, counts).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-3 * abs(want[i]) for i in want)
+
+
+def test_clashing_columns_and_empty_tables(spark, odd, clashing, empty, tmp_path):
+    """Columns that operators use inside do no harm, and an empty table goes through every operator and stage."""
+    import public_tokenizers
+
+    path = tokens.tokenizer_path()
+    assert rows(tokens.pack(clashing, path, 1, 256), *tokens.PIECE[:1], "length") == rows(tokens.pack(odd, path, 1, 256), *tokens.PIECE[:1], "length")
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    store.append(clashing)
+    assert rows(store.read(), *clashing.columns) == rows(clashing, *clashing.columns)
+    data = _labelled(spark)
+    model = toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    assert rows(toxicity.score(clashing, model), "doc_id", "score") == rows(toxicity.score(odd, model), "doc_id", "score")
+    m, counts = maxent.train(clashing)
+    assert rows(maxent.score(clashing, m, counts), "doc_id", "n_known") == rows(maxent.score(odd, m, counts), "doc_id", "n_known")
+    pieces = public_tokenizers.path(language.VOCABULARY)
+    langs, p = language.train(clashing, pieces, rounds=1)
+    assert rows(language.identify(clashing, langs, p, pieces), "doc_id", "lang_pred") == rows(language.identify(odd, langs, p, pieces), "doc_id", "lang_pred")
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, d)
+        assert out.count() == 0 and (name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS)
+        keys = ("doc_id", "length") if name == "packing" else ("doc_id", "text", "lang")
+        assert rows(stage(spark, clashing, d), *keys) == rows(stage(spark, odd, d), *keys)
+
+
 def _labelled(spark):
     bad = ["scumbag", "vileness", "wretched", "nastier"]
     data = [(i, " ".join(words(i, 60, 2000) + ([bad[i % 4], *words(i + 999, 5), bad[(i + 1) % 4]] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(400)]
