@@ -28,16 +28,16 @@ def percent(text: Column) -> Column:
 
 def looks_percent_encoded(value: Column) -> Column:
     """Only what a component encoder emits, and a percent sign among it."""
-    return value.rlike("^[A-Za-z0-9\\-_.!~*'()%]*%[A-Za-z0-9\\-_.!~*'()%]*$")
+    return value.rlike("^[A-Za-z0-9\\-_.!~*'()%]*%[A-Za-z0-9\\-_.!~*'()%]*\\z")
 
 
 def encoded_component(text: Column) -> Column:
-    return by_characters(text, lambda c: F.when(c.rlike("^[A-Za-z0-9\\-_.!~*'()]?$"), c).otherwise(percent(c)))
+    return by_characters(text, lambda c: F.when(c.rlike("^[A-Za-z0-9\\-_.!~*'()]?\\z"), c).otherwise(percent(c)))
 
 
 def encoded_path(path: Column, escape_wide: Column) -> Column:
     """A path for a URL; characters beyond ASCII are escaped only where escape_wide holds."""
-    safe = "^[A-Za-z0-9\\-_.~!$&'()*+,;=:@/]?$"
+    safe = "^[A-Za-z0-9\\-_.~!$&'()*+,;=:@/]?\\z"
     return by_characters(path, lambda c: F.when(c.rlike(safe) | (~escape_wide & c.rlike("^[^\\x00-\\x7F]$")), c).otherwise(percent(c)))
 
 
@@ -57,7 +57,7 @@ def escaped_css(text: Column, quote: str | None) -> Column:
     out = _replaced(text, [("\\", "\\\\"), ("\n", "\\a ")])
     if quote:
         return F.replace(out, F.lit(quote), F.lit("\\" + quote))
-    bare = by_characters(F.replace(text, F.lit("\\"), F.lit("\\\\")), lambda c: F.when(c == "\n", F.lit("\\a ")).when(c.rlike("^[\\s\"'()]$"), F.concat(F.lit("\\"), F.lower(F.ltrim(F.lit("0"), F.hex(F.encode(c, "UTF-16BE")))), F.lit(" "))).otherwise(c))
+    bare = by_characters(F.replace(text, F.lit("\\"), F.lit("\\\\")), lambda c: F.when(c == "\n", F.lit("\\a ")).when(c.rlike("^[\\s\"'()]$"), F.concat(F.lit("\\"), F.lower(F.ltrim(F.hex(F.encode(c, "UTF-16BE")), F.lit("0"))), F.lit(" "))).otherwise(c))
     return bare
 
 
