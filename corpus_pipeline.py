@@ -27,7 +27,7 @@ def _without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them null and empty texts. Each row is judged alone, with or without an id; repeated rows fare alike."""
     return docs.select(*COLUMNS).filter(judged(F.col("text"))["kept"])
 
 
@@ -51,20 +51,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that stand in an earlier document are cut from the later ones; n_chars is counted anew."""
+    """Passages of 50 words and more that stand in an earlier document are cut from the later ones; n_chars is counted anew.
+
+    No row goes. A null text stays null; rows without an id, and those whose id also stands with another text, are neither compared nor cut.
+    """
     out = without_duplicates(docs, window=50, gram=8, carry=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold benchmark passages go, with an id or without; a clean row that shares the id stays."""
+    """Rows that hold benchmark passages go, with an id or without; a clean row that shares the id stays. A null or empty text is clean."""
     gone = contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True).filter("contaminated")
     return _without(docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")), gone, "doc_id", "text_key")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 2048 ids."""
+    """What is left, as pieces of sequences of 2048 ids. A null or empty text is its end id alone; rows that repeat an id or have none are documents of their own."""
     return pack(docs, tokenizer_path(), end_id=1).select(*PIECE)
 
 
