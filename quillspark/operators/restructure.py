@@ -69,12 +69,12 @@ def _failures(refs: DataFrame, entries: DataFrame, moves: DataFrame) -> DataFram
     follows = (F.col("status") == "resolved") & F.col("goal").isNotNull()
     made = retargeted(F.col("value"), F.col("form"), F.col("lenient"), F.col("editable"), F.col("source"), F.col("goal"))
     # A value that can't be written fails here; the rest is resolved once more, against the names to come.
-    asked = named.withColumn("follows", follows).withColumn("now", F.when(follows, made).otherwise(F.col("value")))
+    asked = settled(named.withColumn("follows", follows).withColumn("now", F.when(follows, made).otherwise(F.col("value"))))
     mute = asked.filter("follows AND now IS NULL").select("package_id", F.col("target").alias("old"), F.lit("not-expressible").alias("reason"))
     some = asked.filter("NOT (follows AND now IS NULL)").join(moves.select("package_id").distinct(), "package_id", "left_semi")
     was: Column = F.struct("status", "target", "lenient", "candidates").alias("before")
     again = resolve_references(some.select("package_id", "ref_id", F.col("now").alias("value"), "editable", "source", "follows", "goal", was), future)
-    again = again.withColumn("after", F.struct("status", "target", "lenient", "candidates"))
+    again = settled(again.withColumn("after", F.struct("status", "target", "lenient", "candidates")))
     missed = again.filter("follows AND NOT (status = 'resolved' AND target <=> goal AND lenient IS NULL)").select("package_id", F.col("before.target").alias("old"), F.lit("not-reached").alias("reason"))
     other = again.filter(~F.col("follows") & ~same_resolution())
     seen = F.filter(F.concat(F.array("target"), F.coalesce("candidates", F.array().cast("array<string>"))), lambda c: c.isNotNull())
